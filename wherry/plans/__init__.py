@@ -1,0 +1 @@
+"""Queries by family; ``catalog`` gathers them."""
