@@ -124,8 +124,7 @@ class Index:
 
     def similarity(self, doc: np.ndarray, start: int, item: int) -> float:
         """Weighted Jaccard of the item's shingles and those of the window at ``start``."""
-        n = len(self.words[item])
-        window = doc[max(0, start) : max(0, start + n)]
+        window = doc[start : start + len(self.words[item])]
         return _weighted(_bag(shingles(window, SHINGLE_WORDS)), self.bags[item])
 
 
@@ -149,25 +148,26 @@ def matches(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator[
         return
     bounds = np.cumsum([0, *map(len, docs)])
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    rough: dict[tuple[int, int, int], float] = {}
+    known: dict[tuple[int, int, int], float] = {}
     for packed in index.candidates(np.concatenate(docs)).tolist():
         start, item = packed >> 32, packed & 0xFFFFFFFF
         # the middle of the window says which document it is in
         d = int(np.searchsorted(bounds, start + len(index.words[item]) // 2, side="right")) - 1
         if d >= len(docs):
             continue
-        start -= int(bounds[d])
+        last = max(0, len(docs[d]) - len(index.words[item]))
+        start = min(max(0, start - int(bounds[d])), last)
         s = index.similarity(docs[d], start, item)
         if s == 0.0:
             continue
-        for shift in range(-SHIFT, SHIFT + 1) if s < 1.0 else (0,):
-            key = (d, item, start + shift)
-            if key not in rough:
-                rough[key] = index.similarity(docs[d], start + shift, item)
-            if rough[key] >= threshold and (rough[key], -start - shift) > best.get((d, item), (0.0, 0)):
-                best[d, item] = rough[key], -start - shift
+        for at in range(max(0, start - SHIFT), min(last, start + SHIFT) + 1) if s < 1.0 else (start,):
+            key = (d, item, at)
+            if key not in known:
+                known[key] = index.similarity(docs[d], at, item)
+            if known[key] >= threshold and (known[key], -at) > best.get((d, item), (0.0, 0)):
+                best[d, item] = known[key], -at
     for (d, item), (s, start) in best.items():
-        yield d, item, s, max(0, -start)
+        yield d, item, s, -start
 
 
 def _index_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:

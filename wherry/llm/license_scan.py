@@ -27,8 +27,9 @@ TEMPLATES = (
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("mit-notice", "Released under the MIT License."),
 )
-#: Share of a template's distinct words that a block (a line) must hold.
-THRESHOLD = 0.8
+#: Share of a template's distinct words that a block (a line) must hold; templates of seven words
+#: that differ in one are told apart.
+THRESHOLD = 0.9
 
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

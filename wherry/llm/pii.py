@@ -28,9 +28,9 @@ CANDIDATE = re.compile(
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
     r"|(?P<date>(?<![\w.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[/.])[0-9]{2}(?P=sep)[0-9]{4})(?![\w\-/]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.\-])[0-9]{3,4}[ .\-][0-9]{4}(?![\w])"
+    r"|(?P<card>(?<![\w+\-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?!\w|-[0-9]))"
+    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.\-])[0-9]{3,4}[ .\-][0-9]{4}(?!\w|[.\-][0-9])"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![\w]))"
-    r"|(?P<card>(?<![\w\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-]))"
 )
 _MAYBE = re.compile(r"[0-9@]")
 
