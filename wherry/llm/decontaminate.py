@@ -23,7 +23,7 @@ BLOCKS = 8
 CLASS_RATIO = 1.25
 WINDOW_SHARE = 0.8
 #: Words whose fingerprints are held at a time, and words of the items of one index.
-STREAM_WORDS = 1 << 15
+STREAM_WORDS = 1 << 13
 INDEX_WORDS = 2_000_000
 #: Words by which a candidate is shifted to find its best alignment.
 SHIFT = 4
@@ -39,15 +39,20 @@ def fingerprints(words: np.ndarray, size: int, stride: int) -> np.ndarray:
     return _windows(_bit_sums(words), size, starts)
 
 
+#: The bits of a byte as eight 16-bit counters, four in each of two numbers.
+_COUNTERS = np.array([[sum(((b >> (4 * h + j)) & 1) << (16 * j) for j in range(4)) for h in range(2)] for b in range(256)], dtype=np.uint64)
+
+
 def _bit_sums(words: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(words) + 1, 64), dtype=np.uint16)  # differences hold modulo 2 ** 16
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
+    """Running counts of each hash bit; at most 2 ** 16 - 1 words, so that no counter overflows."""
+    counters = _COUNTERS[np.ascontiguousarray(words).view(np.uint8)].reshape(-1, 16)
+    sums = np.zeros((len(words) + 1, 16), dtype=np.uint64)
+    np.cumsum(counters, axis=0, out=sums[1:])
     return sums
 
 
 def _windows(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-    ones = sums[starts + size] - sums[starts]
+    ones = (sums[starts + size] - sums[starts]).view(np.uint16)
     return np.packbits(ones > size // 2, axis=1)
 
 
