@@ -23,7 +23,7 @@ DIM = 4
 #: Subwords that fewer texts of the sample hold, or whose share of toxic texts is within so many
 #: standard errors of the sample's, get no vector; so noisy labels are not learnt by heart.
 MIN_TEXTS = 3
-MIN_Z = 4.5
+MIN_Z = 5.5
 STEPS = 60
 RATE = 0.03
 DECAY = 1e-5
