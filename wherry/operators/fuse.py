@@ -72,8 +72,10 @@ def atomic_conjunction(found: DataFrame, components: DataFrame, keep: int = 20)
     component and modality.
     """
     per = found.groupBy("query_id", "component", "modality", "id").agg(F.max("score").alias("score"))
-    best = F.max("score").over(Window.partitionBy("query_id", "component", "modality"))
-    per = per.withColumn("strength", F.when(best > 0, F.round(F.col("score") / best, 6)).otherwise(0.0))
+    keys = ["query_id", "component", "modality"]
+    best = per.groupBy(*keys).agg(F.max("score").alias("best"))  # a row for each part of the stated queries
+    strength = F.when(F.col("best") > 0, F.round(F.col("score") / F.col("best"), 6)).otherwise(0.0)
+    per = per.join(F.broadcast(best), keys).withColumn("strength", strength)
     n = components.groupBy("query_id").agg(F.count_distinct("component").alias("components"))
     rows = per.groupBy("query_id", "modality", "id").agg(F.count(F.lit(1)).alias("support"), F.round(F.sum("strength"), 6).alias("strength"))
     rows = rows.join(F.broadcast(n), "query_id")

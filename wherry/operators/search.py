@@ -87,11 +87,13 @@ def documents(scored: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, asked: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Documents near their query's best score, at most ``per_class`` each (a top-k report)."""
     short = asked.select("query_id", F.when((F.size("tokens") == 1) & (F.length(F.get("tokens", F.lit(0))) <= 4), 0.70).otherwise(0.80).alias("share"))
-    top = Window.partitionBy("query_id")
-    rows = docs.join(F.broadcast(short), "query_id").withColumn("top", F.max("score").over(top))
-    rows = rows.where(F.col("score") >= F.round(F.col("top") * F.col("share"), 6))
-    order = top.orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).drop("top", "share")
+    # one number per query of the stated set: the maximum is pre-aggregated where the scores are
+    best = docs.groupBy("query_id").agg(F.max("score").alias("top")).join(F.broadcast(short), "query_id")
+    cuts = best.select("query_id", F.round(F.col("top") * F.col("share"), 6).alias("cut"))
+    rows = docs.join(F.broadcast(cuts), "query_id").where(F.col("score") >= F.col("cut"))
+    # row_number below a constant: each task keeps its own first ones before anything moves
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).drop("cut")
 
 
 def search(queries: DataFrame, docs: DataFrame, expand: bool = False) -> DataFrame:
