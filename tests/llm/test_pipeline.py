@@ -81,3 +81,17 @@ def test_tokens(stages):
 
 def test_run_equals_its_stages(spark, data, stages):
     assert P.run(spark, data).count() == stages[5].count()
+
+
+def test_odd_rows_and_columns(spark, data):
+    """Nulls, repeated rows, an empty table and further columns pass every stage."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one two three four five six seven", "en", "a", 5), (1, "one two three four five six seven", "en", "a", 5), (2, None, None, None, None), (None, "x", "en", "b", 1), (3, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(1), "rep": F.lit(2), "keys": F.lit(3)})
+    for table, left in ((docs, 4), (docs.limit(0), 0)):
+        for name, stage in P.STAGES:
+            out = written(stage(spark, table, data), "odd")[0]
+            assert name == "sentencepiece" or out.columns == table.columns
+            table = out
+        assert table.count() == left
