@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: White space that equality ignores.
 BLANK = " \t\n\x0b\x0c\r"
 #: A chunk ends after a code point of this class preceded by one of the other (the content
@@ -61,6 +63,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("neg")))
     groups = slim.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("recipe", (-F.col("best.neg")).alias("keep_id"), "group_size")
+    # written: both sides of the join are then plain shuffles, which Spark can split at a hot recipe
+    groups, _ = written(groups, "recipe-groups")
     return slim.join(groups, "recipe").select(
         "doc_id",
         "keep_id",
