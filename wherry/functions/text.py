@@ -156,8 +156,11 @@ def structural_tokens(c: Column) -> Column:
 
 
 def chunk_spans(c: Column) -> Column:
-    """array<struct<chunk_index, chunk_text>>: trimmed 800-character slices that are not empty."""
-    text = trimmed(F.coalesce(c, F.lit("")))
+    """array<struct<chunk_index, chunk_text>>: trimmed 800-character slices that are not empty.
+
+    ``c`` is a column of trimmed text: an expression would be computed again for each slice.
+    """
+    text = c
     last = F.greatest(F.ceil(F.length(text) / CHUNK_CHARS).cast("int") - 1, F.lit(0))
     made = F.transform(
         F.sequence(F.lit(0), last),

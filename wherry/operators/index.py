@@ -11,7 +11,8 @@ from ..functions import text as T
 
 def chunks(docs: DataFrame, min_chars: int = T.MIN_CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, chunk_index, chunk_text, norm: a narrow transformation, no shuffle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.chunk_spans(F.col(text_col))).alias("c"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), T.trimmed(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    rows = rows.select("doc_id", F.explode(T.chunk_spans(F.col("t"))).alias("c"))
     rows = rows.select("doc_id", F.col("c.chunk_index").cast("int").alias("chunk_index"), F.col("c.chunk_text").alias("chunk_text"))
     return rows.where(F.length("chunk_text") >= min_chars).withColumn("norm", T.normalized(F.col("chunk_text")))
 
