@@ -403,6 +403,16 @@ def test_boilerplate(spark):
     assert got[300]["n_boilerplate"] == 2 and got[200]["n_boilerplate"] == 1
 
 
+def test_short_pages_lose_a_long_passage(spark):
+    rng = random.Random(11)
+    passage = sentence(rng, 60, 5000)
+    own = [sentence(rng, 40, 5000) for _ in range(12)]
+    rows = [(i, f"{passage}\n\n{t}", f"s{i}") for i, t in enumerate(own)] + [(50, f"{passage}\n \n", "s0")]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert all((got[i]["text"], got[i]["n_removed"]) == ("\n" + t, 1) for i, t in enumerate(own))
+    assert (got[50]["text"], got[50]["n_boilerplate"], got[50]["n_removed"]) == (rows[-1][1], 1, 0)
+
+
 def test_near_threshold_counts_are_exact(spark):
     rows = [(i * 100 + k, f"line {k}\n" + f"own text of document {i} and {k}", f"site {i}") for k in range(7, 14) for i in range(k)]
     lines = docs_of(spark, rows).select("source", F.explode(F.split("text", "\n")).alias("line"))

@@ -13,8 +13,8 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within this share of the threshold (over four standard errors) are counted exactly.
 MARGIN = 0.15
-#: A document of which boilerplate is more than this share of the characters is a copy of
-#: another document, not a page with boilerplate on it: it is left for near-duplicate removal.
+#: The share rule of op9's SQL: a document of which boilerplate is more than this share of the
+#: characters keeps its lines. It also spares short pages with lines of their own.
 MAX_SHARE = 0.5
 
 _EDGE = " \t\r\x0b\x0c"
@@ -49,13 +49,15 @@ def line_dedup(
     min_sites: int = MIN_SITES,
     lg_k: int = LG_K,
     margin: float = MARGIN,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, text (cleaned), n_lines, n_boilerplate, n_removed, was.
 
     A line is boilerplate if, without its outer white space, it stands on ``min_sites`` sites
-    or more; blank lines never are. It is removed wherever it stands, but a document that is
-    boilerplate for more than ``max_share`` of its characters keeps its lines (it is a copy).
+    or more; blank lines never are. It is removed wherever it stands, but a document of which
+    nothing but blank lines would be left keeps its lines: it is a copy, left for near-duplicate
+    removal. With ``max_share`` the documents that keep their lines are instead those that are
+    boilerplate for more than this share of their characters.
 
     ``was`` is the 64-bit hash of the text before. Null text stays null with counts 0; an empty text is one blank line. A null site counts as
     the one site ''. Repeated rows get the same result each; null ids are kept. Other columns
@@ -82,7 +84,8 @@ def line_dedup(
     out = out.withColumn("kept", F.when(F.col("keys").isNull(), F.col("lines")).otherwise(kept))
     text = F.array_join("kept", "\n")
     chars = F.char_length("text")
-    whole = F.col("keys").isNull() | (chars - F.char_length(text) > max_share * chars)
+    own = F.exists("kept", lambda x: F.btrim(x, F.lit(_EDGE)) != "")
+    whole = F.col("keys").isNull() | (~own if max_share is None else chars - F.char_length(text) > max_share * chars)
     n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
     n_boil = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
     return out.select(
