@@ -274,6 +274,39 @@ def test_license_words(spark):
     assert got[2]["base_labels"] == "apache" and got[3]["labels"] == "cc-by-nc-notice" and got[3]["base_labels"] == ""
 
 
+WRAPPED = {
+    "bsd-notice": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "gpl-program": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation",
+    "mit-grant": " * Permission is hereby granted, free of charge, to any person obtaining a copy\r\n * of this software and associated documentation files",
+    "mit-notice": "Released\n\nunder\nthe MIT License.",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(12)
+    docs = [(i, f"{sentence(rng, 30)}\n{t}\n{sentence(rng, 30)}", "a") for i, t in enumerate(WRAPPED.values())]
+    docs += [(50 + i, t.replace("\n", f"\n{sentence(rng, 12)}\n"), "a") for i, t in enumerate(WRAPPED.values())]  # torn apart: no block
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs_of(spark, docs)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, label
+        assert label not in got[50 + i]["labels"].split(","), label
+
+
+def test_license_windows_equal_brute_force():
+    rng = random.Random(13)
+    vocab = [f"v{i}" for i in range(14)]
+    for threshold in (0.5, 0.8, 1.0):
+        texts = [[rng.choice(vocab) for _ in range(rng.randrange(1, 9))] for _ in range(12)]
+        templates = [(f"t{k}", list(dict.fromkeys(w))) for k, w in enumerate(texts)]
+        join = license_scan.Join(templates, {}, threshold, list(map(len, texts)))
+        for _ in range(50):
+            words = [rng.choice([*vocab, "x", "y"]) for _ in range(rng.randrange(0, 40))]
+            for t, (_, w) in enumerate(templates):
+                n = join.spans[t]
+                best = max(len(set(words[i : i + n]) & set(w)) for i in range(max(1, len(words) - n + 1))) / len(w)
+                assert join.windows(words, t) == (best if best >= threshold - 1e-9 else 0.0)
+
+
 # ------------------------------------------------------------------ 6
 
 

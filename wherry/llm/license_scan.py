@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +27,8 @@ TEMPLATES = (
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("mit-notice", "Released under the MIT License."),
 )
-#: Share of a template's distinct words that a block (a line) must hold; templates of seven words
-#: that differ in one are told apart.
+#: Share of a template's distinct words that a block (a line, or a window of the template's size
+#: over line ends) must hold; templates of seven words that differ in one are told apart.
 THRESHOLD = 0.9
 
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -38,6 +38,11 @@ _ANY = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LINE_WORDS = re.compile(WORDS)
 
 
+def template_lengths(templates) -> list[int]:
+    """Words of each template, repeated ones too."""
+    return [len(_LINE_WORDS.findall(text.translate(_LOWER))) for _, text in templates]
+
+
 def template_words(templates) -> list[tuple[str, list[str]]]:
     return [(label, list(dict.fromkeys(_LINE_WORDS.findall(text.translate(_LOWER))))) for label, text in templates]
 
@@ -66,7 +71,7 @@ def _lowered(word: str) -> str:
 class Join:
     """Containment of a block's words in each template, by prefix, length and position."""
 
-    def __init__(self, templates, counts: dict[str, int], threshold: float) -> None:
+    def __init__(self, templates, counts: dict[str, int], threshold: float, lengths: list[int] | None = None) -> None:
         self.labels = [label for label, _ in templates]
         ranked = sorted({w for _, words in templates for w in words}, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(ranked)}
@@ -80,6 +85,8 @@ class Join:
             self.sets.append(frozenset(ids))
             for at, i in enumerate(ids[: len(ids) - need + 1]):
                 self.prefix.setdefault(i, []).append((t, at))
+        #: Words of a window: a notice at the threshold may hold words that its template has not.
+        self.spans = [math.ceil(n / threshold) for n in lengths or self.sizes]
         self.least = min(self.need, default=1)
         self.starts = frozenset(w for w, i in self.rank.items() if i in self.prefix)
 
@@ -102,6 +109,26 @@ class Join:
                     out.append((t, common / self.sizes[t]))
         return out
 
+    def windows(self, words: list[str], t: int) -> float:
+        """The largest containment of template ``t`` in a window of its span of consecutive words."""
+        ids, span = self.sets[t], self.spans[t]
+        inside: Counter = Counter()
+        places: deque[tuple[int, int]] = deque()
+        most = 0
+        for at, w in enumerate(words):
+            i = self.rank.get(w)
+            if i not in ids:
+                continue
+            places.append((at, i))
+            inside[i] += 1
+            while places[0][0] <= at - span:
+                gone = places.popleft()[1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+            most = max(most, len(inside))
+        return most / self.sizes[t] if most >= self.need[t] else 0.0
+
 
 def license_scan(
     docs: DataFrame,
@@ -114,11 +141,13 @@ def license_scan(
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels are phrases whose words stand consecutively anywhere in the text. The join
-    finds every line whose distinct words hold ``threshold`` of a template's distinct words:
-    words are ordered by their count over all documents, and only lines with a word of a
-    template's rarest few, enough words and enough left after the first common word are
-    counted out. ``labels`` has both kinds. ``score`` is the largest containment found, 1 if
-    a base phrase stands in the text, else 0.
+    finds every block whose distinct words hold ``threshold`` of a template's distinct words.
+    Blocks are lines, and windows of the template's words over ``threshold`` consecutive words
+    wherever they start, so that a notice is found however it is wrapped. Words are ordered by
+    their count over all documents, and only texts, then lines, with a word of a template's
+    rarest few, enough words and enough left after the first common word are counted out.
+    ``labels`` has both kinds. ``score`` is the largest containment found, 1 if a base phrase
+    stands in the text, else 0.
 
     Null text is empty: no words, empty labels, score 0. Ties need no order (labels are sets).
     Repeated rows and null ids get a row each; other columns are ignored; an empty table gives
@@ -126,7 +155,7 @@ def license_scan(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     listed = template_words(templates)
-    join = Join(listed, word_counts(rows, {w for _, words in listed for w in words}), threshold)
+    join = Join(listed, word_counts(rows, {w for _, words in listed for w in words}), threshold, template_lengths(templates))
     sought = [(phrase.split(), label) for phrase, label in phrases]
     firsts = frozenset(words[0] for words, _ in sought)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -146,9 +175,13 @@ def license_scan(
                             places.append(i)
                             base.add(label)
         score, labels = 1.0 if base else 0.0, set(base)
-        if have & join.starts:
+        near = join.matches(have) if have & join.starts else []  # no block of a text holds more than the text
+        if near:
+            found = [(t, join.windows(words, t)) for t, _ in near]
             for line in text.split("\n"):
-                for t, c in join.matches(set(map(_lowered, _ANY.findall(line)))):
+                found += join.matches(set(map(_lowered, _ANY.findall(line))))
+            for t, c in found:
+                if c:
                     labels.add(join.labels[t])
                     score = max(score, c)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
