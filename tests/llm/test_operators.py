@@ -497,6 +497,30 @@ def test_decontamination_equals_brute_force(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+def test_long_items_equal_brute_force(spark):
+    rng = random.Random(14)
+    items = [(1, sentence(rng, 20_000, 3_000)), (2, sentence(rng, 90_000, 3_000)), (3, sentence(rng, 30, 900))]
+    edited = items[0][1].split()
+    for i in range(0, 20_000, 400):
+        edited[i] = "other"
+    pad = lambda n: sentence(rng, n, 3_000)
+    docs = [(1, f"{pad(17)} {items[0][1]} {pad(9)}"), (2, f"{pad(5)} {' '.join(edited)} {pad(20)}"), (3, f"{pad(11)} {items[1][1]}"), (4, f"{pad(9000)} {items[2][1]} {pad(40)}"), (5, pad(20_010))]
+    table = docs_of(spark, [(d, t, "a") for d, t in docs])
+    rows = D.decontaminate(table, clashing(spark.createDataFrame(items, "item_id long, text string"))).collect()
+    # brute force where an item may fit; the short item's document is short of words of others
+    want = brute([docs[0], docs[1], docs[4]], items[:1], 0.8) | brute(docs[2:3], items[1:2], 0.8) | brute(docs[3:4], items[2:], 0.8)
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows} == pytest.approx(want)
+    assert sorted(want) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+    assert {r["doc_id"]: r["start_word"] for r in rows} == {1: 17, 2: 5, 3: 11, 4: 9000}
+
+
+def test_long_windows_equal_short_ones():
+    rng = np.random.default_rng(15)
+    words = rng.integers(0, 2**63, 30_000, dtype=np.uint64)
+    for size, starts in ((3000, np.arange(0, 27_001, 7)), (8192, np.array([0, 1, 8192, 21_808])), (20_000, np.arange(500, 10_000, 501))):
+        assert (D._long_windows(words, size, starts) == D._windows(D._bit_sums(words), size, starts)).all()
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, 40, dtype=np.uint64)

@@ -22,9 +22,12 @@ BLOCKS = 8
 #: the class's shortest item, so that a strided window lies wholly inside every occurrence.
 CLASS_RATIO = 1.25
 WINDOW_SHARE = 0.8
-#: Words whose fingerprints are held at a time, and words of the items of one index.
+#: Words whose running bit counts are held at a time (windows of more than half of it are summed
+#: over several pieces), and words of the items of one index.
 STREAM_WORDS = 1 << 13
 INDEX_WORDS = 2_000_000
+#: Long windows compared with an index at a time.
+LONG_WINDOWS = 64
 #: Words by which a candidate is shifted to find its best alignment.
 SHIFT = 4
 
@@ -36,9 +39,16 @@ def fingerprints(words: np.ndarray, size: int, stride: int) -> np.ndarray:
     starts = np.arange(0, len(words) - size + 1, stride)
     if len(starts) == 0:
         return np.empty((0, 8), dtype=np.uint8)
+    if is_long(size):
+        return _long_windows(words, size, starts)
     return _windows(_bit_sums(words), size, starts)
 
 
+def is_long(size: int) -> bool:
+    """Whether windows of ``size`` words are too long for one piece."""
+    return 2 * size > STREAM_WORDS
+
+
 #: The bits of a byte as eight 16-bit counters, four in each of two numbers.
 _COUNTERS = np.array([[sum(((b >> (4 * h + j)) & 1) << (16 * j) for j in range(4)) for h in range(2)] for b in range(256)], dtype=np.uint64)
 
@@ -56,6 +66,24 @@ def _windows(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
     return np.packbits(ones > size // 2, axis=1)
 
 
+def _long_windows(words: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """``_windows`` for any size: whole bit counts where windows begin or end, added up piece by piece."""
+    found = []
+    for first in range(0, len(starts), STREAM_WORDS):
+        some = starts[first : first + STREAM_WORDS]
+        ends = np.union1d(some, some + size)
+        counts = np.empty((len(ends), 64), dtype=np.int32)
+        before, done = np.zeros(64, dtype=np.int32), 0
+        for at in range(int(ends[0]), int(ends[-1]) + 1, STREAM_WORDS):
+            sums = _bit_sums(words[at : at + STREAM_WORDS])
+            upto = int(np.searchsorted(ends, at + STREAM_WORDS))
+            counts[done:upto] = before + sums[ends[done:upto] - at].view(np.uint16)
+            before, done = before + sums[-1].view(np.uint16), upto
+        ones = counts[np.searchsorted(ends, some + size)] - counts[np.searchsorted(ends, some)]
+        found.append(np.packbits(ones > size // 2, axis=1))
+    return np.concatenate(found)
+
+
 class SizeClass:
     """Fingerprints of items of about one size at every phase of the windows' stride."""
 
@@ -111,16 +139,24 @@ class Index:
             group.append((i, words))
         if group:
             self.classes.append(SizeClass(group))
-        self.longest = max((c.size for c in self.classes), default=1)
+        self.long = [c for c in self.classes if is_long(c.size)]
+        self.short = [c for c in self.classes if not is_long(c.size)]
+        self.longest = max((c.size for c in self.short), default=1)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Sorted (start, item) pairs, packed in one number, of windows near an item's."""
         found = [np.empty(0, dtype=np.int64)]
-        step = max(STREAM_WORDS - self.longest, 1)
-        for at in range(0, max(len(words) - 1, 1), step):
+        for c in self.long:
+            starts = np.arange(0, len(words) - c.size + 1, c.stride)
+            for first in range(0, len(starts), LONG_WINDOWS):
+                some = starts[first : first + LONG_WINDOWS]
+                row, col = c.near(_long_windows(words, c.size, some))
+                found.append(((some[row] - c.phase[col]).astype(np.int64) << 32) | c.item[col])
+        step = STREAM_WORDS - self.longest
+        for at in range(0, max(len(words) - 1, 1) if self.short else 0, step):
             part = words[at : at + STREAM_WORDS]
             sums = _bit_sums(part)
-            for c in self.classes:
+            for c in self.short:
                 starts = np.arange(0, len(part) - c.size + 1, c.stride)
                 if len(starts):
                     row, col = c.near(_windows(sums, c.size, starts))
@@ -132,6 +168,26 @@ class Index:
         window = doc[start : start + len(self.words[item])]
         return _weighted(_bag(shingles(window, SHINGLE_WORDS)), self.bags[item])
 
+    def similarities(self, doc: np.ndarray, first: int, last: int, item: int) -> list[float]:
+        """``similarity`` at each start from ``first`` to ``last``; a step changes two shingles."""
+        n = len(self.words[item])
+        s = shingles(doc[first : last + n], SHINGLE_WORDS)
+        values, counts = self.bags[item]
+        place = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        place = np.where(values[place] == s, place, -1).tolist()
+        width = n - SHINGLE_WORDS + 1
+        most, have, common, out = counts.tolist(), [0] * len(counts), 0, []
+        for i, p in enumerate(place):
+            if p >= 0:
+                have[p] += 1
+                common += have[p] <= most[p]
+            if i >= width and (gone := place[i - width]) >= 0:
+                common -= have[gone] <= most[gone]
+                have[gone] -= 1
+            if i >= width - 1:
+                out.append(common / (2 * width - common))
+        return out
+
 
 def _bag(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(s, return_counts=True)
@@ -154,6 +210,7 @@ def matches(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator[
     bounds = np.cumsum([0, *map(len, docs)])
     best: dict[tuple[int, int], tuple[float, int]] = {}
     known: dict[tuple[int, int, int], float] = {}
+    spread: dict[tuple[int, int], list[int]] = {}
     for packed in index.candidates(np.concatenate(docs)).tolist():
         start, item = packed >> 32, packed & 0xFFFFFFFF
         # the middle of the window says which document it is in
@@ -162,7 +219,12 @@ def matches(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator[
             continue
         last = max(0, len(docs[d]) - len(index.words[item]))
         start = min(max(0, start - int(bounds[d])), last)
-        s = index.similarity(docs[d], start, item)
+        if is_long(len(index.words[item])) and len(docs[d]) >= len(index.words[item]):
+            spread.setdefault((d, item), []).append(start)  # neighbouring phases are alike: many starts a passage
+            continue
+        if (d, item, start) not in known:
+            known[d, item, start] = index.similarity(docs[d], start, item)
+        s = known[d, item, start]
         if s == 0.0:
             continue
         for at in range(max(0, start - SHIFT), min(last, start + SHIFT) + 1) if s < 1.0 else (start,):
@@ -171,10 +233,28 @@ def matches(index: Index, docs: list[np.ndarray], threshold: float) -> Iterator[
                 known[key] = index.similarity(docs[d], at, item)
             if known[key] >= threshold and (known[key], -at) > best.get((d, item), (0.0, 0)):
                 best[d, item] = known[key], -at
+    for (d, item), starts in spread.items():
+        last = len(docs[d]) - len(index.words[item])
+        for first, end in _runs(sorted(starts), 2 * SHIFT + 1):
+            first, end = max(0, first - SHIFT), min(last, end + SHIFT)
+            for at, s in enumerate(index.similarities(docs[d], first, end, item), first):
+                if s >= threshold and (s, -at) > best.get((d, item), (0.0, 0)):
+                    best[d, item] = s, -at
     for (d, item), (s, start) in best.items():
         yield d, item, s, -start
 
 
+def _runs(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of the runs of sorted ``places`` whose steps are at most ``gap``."""
+    first = before = places[0]
+    for p in places[1:]:
+        if p - before > gap:
+            yield first, before
+            first = p
+        before = p
+    yield first, before
+
+
 def _index_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
     """The query set in blocks of at most INDEX_WORDS words (one item at least)."""
     block, size = [], 0
@@ -197,7 +277,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     offset. Windows whose 64-bit SimHash is within RADIUS bits of an item's at the same phase
     are all found; the aligned window's five-word shingles, weighted by how often they stand,
     must reach ``threshold`` as weighted Jaccard. The best window of a pair is reported, of
-    equal ones the first.
+    equal ones the first. Items may be of any length.
 
     Null and empty texts or items match nothing; items under five words are one shingle.
     Repeated rows give repeated pairs, a null doc_id a null. Other columns are ignored; an
