@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, left, written
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
@@ -13,32 +13,83 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within this share of the threshold (over four standard errors) are counted exactly.
 MARGIN = 0.15
-#: The share rule of op9's SQL: a document of which boilerplate is more than this share of the
-#: characters keeps its lines. It also spares short pages with lines of their own.
-MAX_SHARE = 0.5
 
 _EDGE = " \t\r\x0b\x0c"
 
 
-def _key(line: Column) -> Column:
-    """128 bits of a line without its outer white space."""
-    line = F.btrim(line, F.lit(_EDGE))
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
+def _pair(c: Column, a: str, b: str) -> list[Column]:
+    """128 bits of ``c`` in two columns."""
+    return [F.xxhash64(c).alias(a), F.xxhash64(F.lit(7), c).alias(b)]
 
 
-def site_spread(lines: DataFrame, min_sites: int, lg_k: int, margin: float) -> tuple[DataFrame, str]:
-    """(key, sites) of the lines on ``min_sites`` sites or more; ``lines`` has key and site.
+def line_key(line: Column) -> list[Column]:
+    """The columns a and b: a line without its outer white space."""
+    return _pair(F.btrim(line, F.lit(_EDGE)), "a", "b")
 
-    Sketches merge by partial aggregation, so a hot line is one row per task when it moves.
-    Lines whose estimate is near the threshold are counted exactly.
+
+def site_spread(lines: DataFrame, min_sites: int, lg_k: int, margin: float) -> tuple[DataFrame, list[str]]:
+    """(a, b, sites) of the lines on ``min_sites`` sites or more; ``lines`` has a, b and site.
+
+    A line that stands fewer times is on fewer sites, so only the others get a sketch. Sketches
+    merge by partial aggregation, so a hot line is one row per task when it moves. Lines whose
+    estimate is near the threshold are counted exactly.
     """
-    est = lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"))
-    est = est.select("key", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
+    often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("a", "b")
+    # written, so that their size is known: Spark broadcasts them below its threshold and shuffles beyond
+    often, often_path = written(often, "frequent-lines")
+    est = lines.join(often, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"))
+    est = est.select("a", "b", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
     est, path = written(est, "line-spread")
-    near = est.where(F.col("sites") <= min_sites * (1 + margin)).select("key")
-    exact = lines.join(near, "key", "left_semi").select("key", "site").distinct()
-    exact = exact.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
-    return est.where(F.col("sites") > min_sites * (1 + margin)).unionByName(exact), path
+    near = est.where(F.col("sites") <= min_sites * (1 + margin)).select("a", "b")
+    exact = lines.join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct()
+    exact = exact.groupBy("a", "b").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
+    return est.where(F.col("sites") > min_sites * (1 + margin)).unionByName(exact), [often_path, path]
+
+
+def cleaned(
+    docs: DataFrame,
+    text_col: str = "text",
+    site_col: str = "source",
+    min_sites: int = MIN_SITES,
+    lg_k: int = LG_K,
+    margin: float = MARGIN,
+) -> DataFrame:
+    """(doc, line): each row of ``docs`` as a struct, and a struct of text (cleaned), n_lines, n_boilerplate, n_removed.
+
+    Lines are split and hashed once, into a table of hashes and places; all counts read that.
+    What is found is a list of places per distinct text, so copies and shared ids need no key of
+    their own, and whole rows move once, in the last join.
+    """
+    spark = docs.sparkSession
+    lines = docs.select(
+        *_pair(F.col(text_col), "t", "u"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "line")
+    ).where(F.btrim("line", F.lit(_EDGE)) != "")
+    lines, lines_path = written(lines.select("t", "u", "place", "site", *line_key(F.col("line"))), "lines")
+    spread, paths = site_spread(lines.select("a", "b", "site"), min_sites, lg_k, margin)
+    spread, spread_path = written(spread.select("a", "b"), "boilerplate")
+    found = lines.join(spread, ["a", "b"], "left_semi").groupBy("t", "u").agg(F.collect_set("place").alias("places"))
+    found, found_path = written(found, "boilerplate-places")
+    dropped(spark, lines_path, spread_path, *paths)
+    left(found_path)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_pair(F.col(text_col), "t", "u"))
+    # one row per distinct text with boilerplate is hashed; texts need no sort, and a hot text can be split
+    rows = rows.join(found.hint("shuffle_hash"), ["t", "u"], "left").select("doc", "places")
+    text = F.col(f"doc.`{text_col}`")
+    split = F.split(text, "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "places"), lambda i: F.get(split, i))
+    rows = rows.withColumn("kept", F.when(F.col("places").isNotNull(), kept))
+    # a text of which only blank lines would be left is a copy, and stays whole
+    own = F.coalesce(F.exists("kept", lambda x: F.btrim(x, F.lit(_EDGE)) != ""), F.lit(False))
+    n = F.coalesce(F.size("places"), F.lit(0)).cast("long")
+    return rows.select(
+        "doc",
+        F.struct(
+            F.when(own, F.array_join("kept", "\n")).otherwise(text).alias("text"),
+            F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+            F.greatest(n, F.lit(0)).alias("n_boilerplate"),
+            F.when(own, n).otherwise(0).cast("long").alias("n_removed"),
+        ).alias("line"),
+    )
 
 
 def line_dedup(
@@ -49,50 +100,17 @@ def line_dedup(
     min_sites: int = MIN_SITES,
     lg_k: int = LG_K,
     margin: float = MARGIN,
-    max_share: float | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, text (cleaned), n_lines, n_boilerplate, n_removed, was.
+    """One row per input row: doc_id, text (cleaned), n_lines, n_boilerplate, n_removed.
 
     A line is boilerplate if, without its outer white space, it stands on ``min_sites`` sites
     or more; blank lines never are. It is removed wherever it stands, but a document of which
     nothing but blank lines would be left keeps its lines: it is a copy, left for near-duplicate
-    removal. With ``max_share`` the documents that keep their lines are instead those that are
-    boilerplate for more than this share of their characters.
+    removal.
 
-    ``was`` is the 64-bit hash of the text before. Null text stays null with counts 0; an empty text is one blank line. A null site counts as
-    the one site ''. Repeated rows get the same result each; null ids are kept. Other columns
-    are ignored. An empty table gives an empty result.
+    Null text stays null with counts 0; an empty text is one blank line. A null site counts as
+    the one site ''. Repeated rows, and rows that share an id, get a row each by their own text;
+    null ids are kept. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(site_col), F.lit("")).alias("site")
-    )
-    rows = rows.withColumn("row", F.struct(F.xxhash64("text").alias("t"), F.xxhash64("doc_id", F.lit(1)).alias("d")))
-    lines = rows.select("row", "site", F.explode(F.split("text", "\n")).alias("line")).where(
-        F.btrim("line", F.lit(_EDGE)) != ""
-    )
-    keyed = lines.select("row", "site", _key(F.col("line")).alias("key"))
-    spread, path = site_spread(keyed.select("key", "site"), min_sites, lg_k, margin)
-    # written, so that its size is known: Spark broadcasts it below its threshold and shuffles beyond
-    spread, _ = written(spread.select("key"), "boilerplate")
-    dropped(docs.sparkSession, path)
-    # (key) of boilerplate in each row; distinct, so a repeated row gets one list
-    found = keyed.select("row", "key").join(spread, "key", "left_semi")
-    found = found.groupBy("row").agg(F.collect_set("key").alias("keys"))
-    out = rows.join(found, "row", "left").select("doc_id", "text", "keys")
-    out = out.withColumn("lines", F.split("text", "\n"))
-    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("keys"), _key(x)))
-    out = out.withColumn("kept", F.when(F.col("keys").isNull(), F.col("lines")).otherwise(kept))
-    text = F.array_join("kept", "\n")
-    chars = F.char_length("text")
-    own = F.exists("kept", lambda x: F.btrim(x, F.lit(_EDGE)) != "")
-    whole = F.col("keys").isNull() | (~own if max_share is None else chars - F.char_length(text) > max_share * chars)
-    n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
-    n_boil = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
-    return out.select(
-        "doc_id",
-        F.when(whole, F.col("text")).otherwise(text).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        n_boil.alias("n_boilerplate"),
-        F.when(whole, 0).otherwise(n_boil).cast("long").alias("n_removed"),
-        F.xxhash64("text").alias("was"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
+    return cleaned(rows, "text", "site", min_sites, lg_k, margin).select("doc.doc_id", "line.*")
