@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, shingles, texts_of
+from .shared import dropped, left, rows_kept, shingles, small_batches, texts_of, word_hashes, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Differing fingerprint bits within which every pair is found: with 8 blocks of 8 bits, two
-#: fingerprints that differ in 7 bits or fewer agree in a whole block.
+#: Differing fingerprint bits within which every pair is found: with 4 blocks of 16 bits, two
+#: fingerprints that differ in 7 bits or fewer differ in at most one bit of some block, so items
+#: stand under each of their blocks' values and under the 16 values next to it.
 RADIUS = 7
-BLOCKS = 8
+BLOCKS = 4
 #: Items of a size class differ in words by at most this factor; windows take this share of
-#: the class's shortest item, so that a strided window lies wholly inside every occurrence.
+#: the class's shortest item, and start so often that PROBES of them lie wholly inside every
+#: occurrence (items of a few words have room for fewer).
 CLASS_RATIO = 1.25
-WINDOW_SHARE = 0.8
+WINDOW_SHARE = 0.7
+PROBES = 2
 #: Words whose running bit counts are held at a time (windows of more than half of it are summed
 #: over several pieces), and words of the items of one index.
 STREAM_WORDS = 1 << 13
-INDEX_WORDS = 2_000_000
+INDEX_WORDS = 200_000
 #: Long windows compared with an index at a time.
 LONG_WINDOWS = 64
 #: Words by which a candidate is shifted to find its best alignment.
@@ -84,16 +86,19 @@ def _long_windows(words: np.ndarray, size: int, starts: np.ndarray) -> np.ndarra
     return np.concatenate(found)
 
 
+_NEXT = np.array([0, *(1 << k for k in range(16))], dtype=np.uint16)
+
+
 class SizeClass:
-    """Fingerprints of items of about one size at every phase of the windows' stride."""
+    """Fingerprints of items of about one size at every phase at which windows may lie inside them."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
         least = min(len(w) for _, w in items)
         self.size = max(1, int(WINDOW_SHARE * least))
-        self.stride = least - self.size + 1
+        self.stride = max(1, (least - self.size + 1) // PROBES)
         found, self.item, self.phase = [], [], []
         for i, words in items:
-            f = fingerprints(words[: self.size + self.stride - 1], self.size, 1)
+            f = fingerprints(words[: self.size + PROBES * self.stride - 1], self.size, 1)
             found.append(f)
             self.item += [i] * len(f)
             self.phase += range(len(f))
@@ -101,19 +106,21 @@ class SizeClass:
         self.item, self.phase = np.array(self.item), np.array(self.phase)
         self.wide = np.ascontiguousarray(self.prints).view(np.uint64).ravel()
         self.blocks = []
-        for b in range(BLOCKS):
-            value = self.prints[:, b]
-            count = np.bincount(value, minlength=256)
-            self.blocks.append((count, np.cumsum(count) - count, np.argsort(value, kind="stable")))
+        for block in self.prints.view(np.uint16).T:
+            value = (block[:, None] ^ _NEXT).ravel()
+            count = np.bincount(value, minlength=1 << 16).astype(np.int32)
+            order = (np.argsort(value, kind="stable") // len(_NEXT)).astype(np.int32)
+            self.blocks.append((count, (np.cumsum(count) - count).astype(np.int32), order))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, fingerprint) pairs within the radius: all of them, by the shared blocks."""
+        """(window, fingerprint) pairs within the radius: all of them, by the blocks; a pair may come several times."""
         wide = np.ascontiguousarray(prints).view(np.uint64).ravel()
         rows, cols = [], []
-        for b, (count, first, order) in enumerate(self.blocks):
-            value = prints[:, b]
+        for value, (count, first, order) in zip(prints.view(np.uint16).T, self.blocks, strict=True):
+            some = np.nonzero(count[value])[0]
+            value = value[some]
             n = count[value]
-            row = np.repeat(np.arange(len(prints)), n)
+            row = np.repeat(some, n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[value], n)
             col = order[place]
             good = np.bitwise_count(wide[row] ^ self.wide[col]) <= RADIUS
@@ -126,9 +133,8 @@ class Index:
     """Benchmark items: (item_id, text) pairs."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        hashes = WordHashes()
         self.ids = [i for i, _ in items]
-        self.words = [hashes.of(t) for _, t in items]
+        self.words = word_hashes([t for _, t in items])
         self.bags = [_bag(shingles(w, SHINGLE_WORDS)) for w in self.words]
         self.classes: list[SizeClass] = []
         group: list[tuple[int, np.ndarray]] = []
@@ -283,34 +289,69 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     Repeated rows give repeated pairs, a null doc_id a null. Other columns are ignored; an
     empty documents or benchmark table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())])
 
     def search(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, ix = hashes_of_worker(), index.value
+            ix = index.value
             for batch in batches:
                 for at, texts in texts_of(batch, "text", 128):
                     ids = batch.column(0).slice(at, len(texts)).to_pylist()
-                    words = [hashes.of(t) for t in texts]
-                    found = [(ids[d], ix.ids[i], s, start, len(ix.words[i])) for d, i, s, start in matches(ix, words, threshold)]
+                    found = [(ids[d], ix.ids[i], s, start, len(ix.words[i])) for d, i, s, start in matches(ix, word_hashes(texts), threshold)]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
 
         return rows.mapInArrow(run, OUT)
 
-    parts = [search(spark.sparkContext.broadcast(Index(block))) for block in _index_blocks(benchmark)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], OUT)
-
+    return _block_by_block(docs, benchmark, search, DataFrame.unionByName)
 
-_HASHES = WordHashes()
 
+def _block_by_block(docs: DataFrame, benchmark: DataFrame, search: Callable, joined: Callable) -> DataFrame:
+    """``search(index)`` of each block of the benchmark, put together by ``joined``.
 
-def hashes_of_worker() -> WordHashes:
-    return _HASHES
-
-
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id): documents to drop, each once."""
-    return decontaminate(docs, benchmark, threshold).select("doc_id").distinct()
+    One block's index at a time is in the driver and in the workers: all results but the last
+    are written before the next index is made.
+    """
+    spark = docs.sparkSession
+    out, index = None, None
+    for block in _index_blocks(benchmark):
+        if index is not None:
+            part, path = written(search(index), "passages")
+            left(path)
+            out = part if out is None else joined(out, part)
+            index.destroy()
+        index = spark.sparkContext.broadcast(Index(block))
+    if index is None:
+        return spark.createDataFrame([], OUT)
+    return search(index) if out is None else joined(out, search(index))
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of the benchmark."""
+    spark, out, index, path = docs.sparkSession, docs, None, None
+
+    def search(rows, index):
+        def clean(texts: list[str | None]) -> list[bool]:
+            hit = {d for at in range(0, len(texts), 128) for d in _hits(index.value, texts[at : at + 128], threshold, at)}
+            return [d not in hit for d in range(len(texts))]
+
+        return rows_kept(rows, lambda: clean, text_col)
+
+    for block in _index_blocks(benchmark):
+        if index is not None:
+            out, new = written(search(out, index), "clean")
+            index.destroy()
+            if path:
+                dropped(spark, path)
+            path = new
+        index = spark.sparkContext.broadcast(Index(block))
+    if path:
+        left(path)
+    return docs if index is None else search(out, index)
+
+
+def _hits(index: Index, texts: list[str | None], threshold: float, at: int) -> Iterator[int]:
+    for d, *_ in matches(index, word_hashes(texts), threshold):
+        yield at + d
