@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -15,14 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_of
+from .shared import small_batches, texts_of
 
 #: The model; a parameter, never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads with which a worker encodes a batch.
 THREADS = 2
 #: Distinct parts of texts that a worker keeps encoded, twice: those used lately and those before.
-MEMO_PARTS = 300_000
+MEMO_PARTS = 200_000
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -126,6 +127,11 @@ class Codec:
         self.made = tokenizer(self.model)
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.part = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.model.separable else "(?s:.+)")
+        m = self.model
+        #: Whether a part can be given to the library as a text of its own: it adds the space mark again, and changes nothing else.
+        self.by_part = m.dummy_prefix and m.escape and m.separable and not m.trim_spaces and not m.charsmap
+        #: Pieces that stand for themselves; None for bytes, unknown and control pieces.
+        self.plain = [p if t in (NORMAL, USER_DEFINED, UNUSED) else None for p, _, t in m.pieces]
         self.bytes_of = {i: int(p[3:-1], 16) for i, (p, _, t) in enumerate(self.model.pieces) if t == BYTE}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -150,6 +156,16 @@ class Codec:
         return text.replace(" ", SPACE) if m.escape else text
 
     def _learn(self, parts: list[str]) -> None:
+        """Encode, compare and decode parts; without garbage collection, since many small objects come and none form cycles."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn_now(parts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _learn_now(self, parts: list[str]) -> None:
         if len(self.memo) + len(parts) > self.memo_parts:
             self.memo, self.older = {}, self.memo
         fresh = []
@@ -159,23 +175,24 @@ class Codec:
             else:
                 fresh.append(p)
         ids = [e.ids for e in self.made.encode_batch_fast(fresh, add_special_tokens=False)]
-        said = dict(self._said(fresh))
-        for i, (p, x) in enumerate(zip(fresh, ids, strict=True)):
-            self.memo[p] = array("i", x).tobytes()
-            if said.get(i, x) != x or self.pieces_text(x) != p:
+        said = ids
+        if self.check is not None and self.by_part:
+            # the library adds the prefix itself; one mark alone is a piece
+            said = self.check.encode([p[1:].replace(SPACE, " ") for p in fresh], num_threads=1)
+            if SPACE in fresh:
+                said[fresh.index(SPACE)] = [self.check.piece_to_id(SPACE)]
+        plain, memo = self.plain, self.memo
+        for p, x, y in zip(fresh, ids, said, strict=True):
+            memo[p] = array("i", x).tobytes()
+            try:
+                same = "".join([plain[i] for i in x]) == p
+            except TypeError:
+                same = self.pieces_text(x) == p
+            if not same or x != y:
                 self.wrong.add(p)
 
-    def _said(self, parts: list[str]) -> Iterator[tuple[int, list[int]]]:
-        """(index, ids) as the SentencePiece library has them, where it can be given a part."""
-        m = self.model
-        if self.check is None or not (m.dummy_prefix and m.escape and m.separable) or m.trim_spaces or m.charsmap:
-            return
-        # the library adds the prefix itself; one mark alone is the prefix of an empty text
-        at = [i for i, p in enumerate(parts) if p[0] == SPACE and p != SPACE]
-        yield from zip(at, self.check.encode([parts[i][1:].replace(SPACE, " ") for i in at], num_threads=1), strict=True)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text; parity: the library agrees and decoding gives the text back."""
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool | None]]:
+        """(ids, parity) of each text; parity: the library agrees and decoding gives the normalised text back; None if not asked."""
         cut = [self.part.findall(self.normalized(t)) if t else [] for t in texts]
         memo = self.memo
         new = list({p for parts in cut for p in parts if p not in memo})
@@ -189,9 +206,11 @@ class Codec:
                 known = [self.memo.get(p) or self.older[p] for p in parts]
                 memo = self.memo
             ids = np.frombuffer(b"".join(known), dtype=np.int32)
-            good = not (self.wrong and self.wrong.intersection(parts))
-            if self.check is not None and text and not self.model.separable:
-                good &= self.check.encode(text) == ids.tolist()
+            good = None
+            if self.check is not None:
+                good = not (self.wrong and self.wrong.intersection(parts))
+                if text and not self.by_part:
+                    good &= self.check.encode(text) == ids.tolist()
             out.append((ids, good))
         return out
 
@@ -241,11 +260,14 @@ def encode(docs: DataFrame, model: str | bytes = MODEL, threads: int = THREADS,
 
     ``parity`` holds if for every part of the text (cut before runs of spaces, where no piece
     of the model crosses) the SentencePiece library gives the same ids and decoding gives the
-    part back. The driver reads the model (a path there, or its bytes) and broadcasts it.
+    part back; a model that trims spaces, maps characters or joins words is compared with the
+    library by whole texts. It is null without ``parity``. The driver reads the model (a path
+    there, or its bytes) and broadcasts it.
 
     Null and empty texts have no ids and parity true. Repeated rows and null ids get a row
     each; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(model_bytes(model) if isinstance(model, str) else model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("parity", pa.bool_())])
 
@@ -255,7 +277,7 @@ def encode(docs: DataFrame, model: str | bytes = MODEL, threads: int = THREADS,
             for at, texts in texts_of(batch, "text", 128):
                 ids, same = zip(*codec.encode(texts), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(map(len, ids), pa.int64()), _lists(ids), pa.array(same)],
+                    [batch.column(0).slice(at, len(texts)), pa.array(map(len, ids), pa.int64()), _lists(ids), pa.array(same, pa.bool_())],
                     schema=schema,
                 )
 
