@@ -10,50 +10,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.llm import decontaminate, line_dedup, ngram_join, sentencepiece_codec, toxicity
-from wherry.llm.shared import dropped, written
+from wherry.llm.shared import dropped, left, swept, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; the model learns from ``docs`` and labels."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = toxicity.toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the toxicity model does not reject; it learns from ``docs`` and labels.
+
+    Every row is judged by its own text: null and shared ids, repeated rows and null or empty
+    texts (scored by the bias alone) need no rule of their own. No rows give no rows.
+    """
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites; n_chars follows the text."""
-    keyed = docs.withColumn("__row", F.struct("doc_id", F.xxhash64("text")))
-    clean = line_dedup.line_dedup(docs).where("n_removed > 0")
-    # a repeated row has the same cleaned text: one suffices for the join
-    was = F.struct(F.col("doc_id"), F.col("was")).alias("__row")
-    clean = clean.select(was, F.col("text").alias("__text")).dropDuplicates(["__row"])
-    out = keyed.join(clean, "__row", "left")
-    text = F.coalesce("__text", "text")
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))}).select(docs.columns)
+    """All rows, without the lines that stand on many sites; n_chars follows a text that changed.
+
+    Null and empty texts stay; a null source is the one site ''. Null and shared ids and
+    repeated rows get their own text's result. No rows give no rows.
+    """
+    out = line_dedup.cleaned(docs)
+    new = {"text": F.col("line.text"), "n_chars": F.when(F.col("line.n_removed") > 0, F.char_length("line.text")).otherwise(F.col("doc.n_chars")).cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, once; rows without an id stay."""
-    joined = ngram_join.ngram_join(docs)
-    others = joined.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat an id are rare: only their texts move (written, so that their number is known)
-    again = joined.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    again, _ = written(again, "repeated")
+    """Of each group of near duplicates one row: the smallest id's (null ids last, ties by a hash of the text).
+
+    Rows are told apart by id and text, so another text under the same id is judged by itself;
+    of rows that repeat both, one stays. Rows without words (null, empty) all stay. No rows give
+    no rows.
+    """
+    joined, path = written(ngram_join.ngram_join(docs).where("class_key IS NOT NULL").select("doc_id", "text_hash", "class_key"), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = joined.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("first"))
+    both = joined.join(first, "class_key").withColumn("stays", F.col("text_hash").eqNullSafe(F.col("first.text_hash")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    # (written, so that their number is known)
+    others, others_path = written(both.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "others")
+    again = both.where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again, again_path = written(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")), "repeated")
+    dropped(spark, path)
+    left(others_path, again_path)
+    same = (F.xxhash64("text") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = docs.join(others, same, "left_anti")
     if again.isEmpty():
         return kept
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    # rows that repeat id and text are rare: only they are brought together
+    one = kept.join(again, same, "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.join(again, same, "left_anti").unionByName(one)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = decontaminate.contaminated_ids(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Rows without a passage of the benchmark, each judged by its own text.
+
+    Null and empty texts hold none and stay; null and shared ids and repeated rows need no rule.
+    No rows, or an empty benchmark, change nothing.
+    """
+    return decontaminate.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: doc_id, n_tokens, ids, parity."""
+    """Token ids of every row: doc_id, n_tokens, ids, parity.
+
+    Null and empty texts have no ids; null and shared ids and repeated rows get a row each.
+    """
     return sentencepiece_codec.encode(docs)
 
 
@@ -71,9 +90,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = None
+    path, known = None, left()
     for name, stage in STAGES:
         docs, new = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        swept(spark, known)
         if path:
             dropped(spark, path)
         path = new
