@@ -17,9 +17,12 @@ def bm25(tokens: Column, words: Column) -> Column:
     """Saturated term counts of ``tokens`` (repeats count) in ``words``, and a bonus if all stand there."""
     norm = K1 * ((1 - B) + B * F.size(words) / AVERAGE_WORDS)
     count = lambda t: F.when(F.length(t) < 2, 0).otherwise(F.size(F.filter(words, lambda w: w == t)))
-    score = total(F.transform(tokens, lambda t: count(t) * (K1 + 1) / (count(t) + norm)))
-    every = (F.size(tokens) > 0) & F.forall(tokens, lambda t: count(t) > 0)
-    return score + F.when(every, ALL_MATCHED).otherwise(0.0)
+    def scored(counts: Column) -> Column:
+        every = (F.size(counts) > 0) & F.forall(counts, lambda n: n > 0)
+        return total(F.transform(counts, lambda n: n * (K1 + 1) / (n + norm))) + F.when(every, ALL_MATCHED).otherwise(0.0)
+
+    # counts are named through a lambda, so that they are taken once
+    return F.get(F.transform(F.array(F.transform(tokens, count)), scored), 0)
 
 
 def token_weights(tokens: Column) -> Column:

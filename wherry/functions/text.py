@@ -126,11 +126,11 @@ def canonical_tokens(c: Column) -> Column:
     return F.slice(F.regexp_extract_all(canonical(c), F.lit(TOKEN), F.lit(0)), 1, MAX_CANONICAL_TOKENS)
 
 
-def canonical_terms(tokens: Column) -> Column:
-    """Distinct tokens and pairs of neighbours; a term counts once however often it stands."""
+def canonical_terms(tokens: Column, once: bool = True) -> Column:
+    """Tokens and pairs of neighbours; a term counts once however often it stands, or with ``once`` off as often as it does."""
     first = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
     pairs = F.zip_with(first, F.slice(tokens, 2, MAX_CANONICAL_TOKENS), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(tokens, pairs))
+    return F.array_distinct(F.concat(tokens, pairs)) if once else F.concat(tokens, pairs)
 
 
 DOMAIN, VERSION = "term", "norm-v1"
@@ -216,12 +216,21 @@ def document_type(c: Column) -> Column:
     )
 
 
-def snippet(text: Column, tokens: Column) -> Column:
-    """Text around the first query token found, which is marked; else the first 180 characters."""
-    clean = trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    low = F.lower(clean)
-    token = F.get(F.filter(tokens, lambda t: (F.trim(t) != "") & low.contains(F.lower(t))), 0)
-    pos = F.locate(F.lower(token), low) if isinstance(token, str) else F.call_function("instr", low, F.lower(token)) - 1
+def snippet_text(c: Column) -> Column:
+    """Text on one line, as snippets are cut from it."""
+    return trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def first_token(tokens: Column, low: Column) -> Column:
+    """The first query token that stands in the lower-cased text; null if none."""
+    return F.get(F.filter(tokens, lambda t: (F.trim(t) != "") & low.contains(F.lower(t))), 0)
+
+
+def snippet(clean: Column, token: Column, pos: Column) -> Column:
+    """Text around the place (from 0) of ``token``, which is marked; without one the first 180 characters.
+
+    Give columns, not expressions: they are named many times.
+    """
     start, end = F.greatest(F.lit(0), pos - 3), F.least(F.length(clean), pos + 140)
     part = F.substr(clean, start + 1, end - start)
     part = F.concat(F.when(start > 0, "...").otherwise(""), part, F.when(end < F.length(clean), " ...").otherwise(""))
@@ -271,6 +280,7 @@ def category(kind: Column, name: Column) -> Column:
     )
 
 
+#: Folders and sizes by which machine-made files are known.
 GENERATED_FOLDERS = ("build", "dist", "target", "out", "cache", "tmp", "temp", "generated", "node_modules", "__pycache__")
 SAMPLE_CHARS = 24 * 1024
 LARGE_CHARS = 512 * 1024
@@ -302,7 +312,8 @@ def policy_skips(s: dict[str, Column]) -> Column:
 
 def stable_mail_id(provider: Column, account: Column, message: Column) -> Column:
     """email://provider/account/message, each in unpadded URL-safe base64."""
-    b64 = lambda x: F.rtrim(F.translate(F.base64(F.encode(x, "utf-8")), "+/", "-_"), F.lit("="))
+    # line ends, which long values get, are left out
+    b64 = lambda x: F.rtrim(F.translate(F.base64(F.encode(x, "utf-8")), "+/\r\n", "-_"), F.lit("="))
     return F.concat(F.lit("email://"), b64(F.lower(provider)), F.lit("/"), b64(account), F.lit("/"), b64(message))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..functions.barrier import settled
 from . import index as I
 
 MIN_SCORE, MIN_SCORE_SINGLE = 1.10, 0.65
@@ -28,20 +29,25 @@ def understood(queries: DataFrame, text_col: str = "query") -> DataFrame:
 
 
 def complete_chunks(asked: DataFrame, chunked: DataFrame) -> DataFrame:
-    """Chunks in which every token of a query is a whole word, with the query's columns.
+    """Chunks in which every token of a query is a whole word: query_id, tokens, doc_id, chunk_index, words.
 
-    The queries are a stated set and are broadcast; each chunk's words are matched where the
-    chunk is read, so text is not shuffled, and only distinct tokens of queries are exploded.
+    The queries are a stated set and are broadcast. A query is looked up by its longest token
+    alone, where a chunk is read, and its other tokens are compared there: nothing is shuffled,
+    and only words that some query is looked up by become rows.
     """
-    tokens = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("need"), F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = chunked.select("doc_id", "chunk_index", "norm", F.explode(F.array_distinct(T.words(F.col("norm")))).alias("token"))
-    hits = hits.join(F.broadcast(tokens), "token").groupBy("query_id", "doc_id", "chunk_index", "need", "norm").agg(F.count(F.lit(1)).alias("n"))
-    return hits.where("n = need").select("query_id", "doc_id", "chunk_index", "norm")
+    longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("token"))))["token"]
+    keys = asked.select("query_id", "tokens", longest.alias("token"))
+    every = keys.agg(F.collect_set("token").alias("keys"))  # one row
+    rows = settled(chunked.select("doc_id", "chunk_index", T.words(F.col("norm")).alias("words")), words=F.col("words"))
+    rows = rows.crossJoin(F.broadcast(every)).where(F.arrays_overlap("words", "keys"))
+    rows = rows.select("doc_id", "chunk_index", "words", F.explode(F.array_intersect("words", "keys")).alias("token"))
+    rows = rows.join(F.broadcast(keys), "token").where(F.size(F.array_except("tokens", "words")) == 0)
+    return rows.select("query_id", "tokens", "doc_id", "chunk_index", "words")
 
 
 def scored_chunks(asked: DataFrame, chunked: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, chunk_index and the signals and score of every complete chunk."""
-    columns = ["query_id", "tokens", "weights"]
+    columns = ["query_id", "weights"]
     if expanded is not None:
         own = asked.select("query_id", F.explode("tokens").alias("token"))
         more = own.join(F.broadcast(expanded), "token").groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("more"))
@@ -51,23 +57,20 @@ def scored_chunks(asked: DataFrame, chunked: DataFrame, expanded: DataFrame | No
         best = lambda e: F.array_max(F.transform("tokens", lambda t: S.prefix_weight(t, e)))
         asked = asked.withColumn("exps", F.transform(every, lambda e: F.struct(e.alias("token"), best(e).alias("weight"))))
         columns.append("exps")
-    rows = complete_chunks(asked, chunked).join(F.broadcast(asked.select(columns)), "query_id")
-    rows = rows.withColumn("words", T.words(F.col("norm")))
-    rows = rows.where(S.in_window(F.col("tokens"), F.col("words")))
+    rows = settled(complete_chunks(asked, chunked), together=S.in_window(F.col("tokens"), F.col("words"))).where("together")
+    rows = rows.join(F.broadcast(asked.select(columns)), "query_id")
     if expanded is None:
-        rows = rows.withColumn("boost", F.size(F.array_distinct("tokens")) * 0.80).withColumn("bm25", S.bm25(F.col("tokens"), F.col("words")))
+        rows = settled(rows, boost=F.size(F.array_distinct("tokens")) * 0.80, bm25=S.bm25(F.col("tokens"), F.col("words")))
     else:
         held = F.filter("exps", lambda e: (e["weight"] > 0) & F.exists("words", lambda w: w.startswith(e["token"])))
-        rows = rows.withColumn("held", held).withColumn("boost", S.total(F.transform("held", lambda e: e["weight"] * 0.80)))
+        rows = settled(rows, held=held)
         added = F.transform(F.filter("held", lambda e: (e["weight"] >= 0.55) & ~F.array_contains("tokens", e["token"])), lambda e: e["token"])
-        rows = rows.withColumn("bm25", S.bm25(F.concat("tokens", added), F.col("words")))
-    rows = rows.where("bm25 > 0").withColumns(
-        {"coverage": S.coverage(F.col("weights"), F.col("words")), "proximity": S.proximity(F.col("tokens"), F.col("words"))}
-    )
+        rows = settled(rows, boost=S.total(F.transform("held", lambda e: e["weight"] * 0.80)), bm25=S.bm25(F.concat("tokens", added), F.col("words")))
+    rows = rows.where("bm25 > 0")
+    rows = settled(rows, coverage=S.coverage(F.col("weights"), F.col("words")), proximity=S.proximity(F.col("tokens"), F.col("words")))
     score = S.chunk_score(F.col("bm25"), F.lit(0.0), F.col("boost"), F.lit(0.0), F.col("proximity"), F.col("coverage"), F.lit(False))
-    rows = rows.withColumn("score", F.round(score, 6))
     least = F.when(F.size("tokens") == 1, MIN_SCORE_SINGLE).otherwise(MIN_SCORE)
-    rows = rows.where(F.col("score") >= least)
+    rows = settled(rows.withColumn("least", least).drop("words", "weights", "exps", "held"), score=F.round(score, 6)).where("score >= least").drop("least")
     bonus = 5.0 + F.when(F.col("proximity") >= 2.0, 6.0).otherwise(0.0)
     return rows.withColumn("score", F.round(F.col("score") + bonus, 6))
 
@@ -87,13 +90,12 @@ def documents(scored: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, asked: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Documents near their query's best score, at most ``per_class`` each (a top-k report)."""
     short = asked.select("query_id", F.when((F.size("tokens") == 1) & (F.length(F.get("tokens", F.lit(0))) <= 4), 0.70).otherwise(0.80).alias("share"))
-    # one number per query of the stated set: the maximum is pre-aggregated where the scores are
-    best = docs.groupBy("query_id").agg(F.max("score").alias("top")).join(F.broadcast(short), "query_id")
-    cuts = best.select("query_id", F.round(F.col("top") * F.col("share"), 6).alias("cut"))
-    rows = docs.join(F.broadcast(cuts), "query_id").where(F.col("score") >= F.col("cut"))
-    # row_number below a constant: each task keeps its own first ones before anything moves
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).drop("cut")
+    # row_number below a constant: each task keeps its own first ones before anything moves; the
+    # best of them is the best of all, so the cut needs no second look at the documents
+    whole = Window.partitionBy("query_id")
+    rows = docs.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= per_class)
+    rows = rows.withColumn("top", F.max("score").over(whole)).join(F.broadcast(short), "query_id")
+    return rows.where(F.col("score") >= F.round(F.col("top") * F.col("share"), 6)).drop("top", "share")
 
 
 def search(queries: DataFrame, docs: DataFrame, expand: bool = False) -> DataFrame:
@@ -109,6 +111,16 @@ def search(queries: DataFrame, docs: DataFrame, expand: bool = False) -> DataFra
     )
 
 
+def snippets(docs: DataFrame, asked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, id, snippet of every document for every query of a stated set; texts are cleaned once, not for each query."""
+    clean = T.snippet_text(F.col(text_col))
+    rows = settled(docs.select(id_col, text_col), clean=clean).drop(text_col)
+    rows = settled(rows, low=F.lower("clean")).crossJoin(F.broadcast(asked.select("query_id", "tokens")))
+    rows = settled(rows, token=T.first_token(F.col("tokens"), F.col("low")))
+    rows = settled(rows, pos=F.call_function("instr", F.col("low"), F.lower("token")) - 1)
+    return rows.select("query_id", id_col, T.snippet(F.col("clean"), F.col("token"), F.col("pos")).alias("snippet"))
+
+
 # ------------------------------------------------------------------ vectors
 
 

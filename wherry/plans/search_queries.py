@@ -100,9 +100,7 @@ SELECT query_id, doc_id, CASE WHEN token IS NULL THEN CASE WHEN length(clean) >
 FROM r
 """)
 def snippet(spark, d):
-    asked = R.understood(query_set(spark)).select("query_id", "tokens")
-    pairs = table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(asked))  # a stated query set
-    return pairs.select("query_id", "doc_id", T.snippet(F.col("text"), F.col("tokens")).alias("snippet"))
+    return R.snippets(table(spark, d, "documents"), R.understood(query_set(spark)))
 
 
 _RERANK = [(1, "with this"), (2, "thre tion"), (3, "that from the")]
@@ -132,16 +130,16 @@ def cross_encoder_rerank(spark, d):
 # ------------------------------------------------------------------ vectors
 
 _VECTORS = f"""
-qv AS (SELECT CAST(vec_id AS INTEGER) AS query_id, embedding AS a FROM embeddings WHERE vec_id < 8),
+qv AS (SELECT CAST(vec_id AS INTEGER) AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
 scores AS (SELECT query_id, vec_id, {B.cosine("a", "embedding")} AS score FROM qv, embeddings)
 """
 _TOP = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {}"
 
 
 def _scores(spark, d):
-    """The first eight vectors are the stated query set, scored against every vector."""
+    """Every fiftieth vector is a query, scored against every vector."""
     v = table(spark, d, "embeddings")
-    return R.vector_scores(v.where("vec_id < 8").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v)
+    return R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v)
 
 
 @query(f"WITH {_VECTORS} SELECT * FROM ({_TOP.format('scores')}) WHERE rank <= 10")
@@ -254,7 +252,7 @@ def score_margin(spark, d):
 
 
 # images: vectors that play the pictures of the stated queries
-_IMAGES = f"img AS (SELECT CAST(query_id AS INTEGER) AS query_id, vec_id, score FROM ({_TOP.format('scores')}) WHERE rank <= 10 AND query_id BETWEEN 1 AND 3)"
+_IMAGES = f"img AS (SELECT CAST(query_id // 50 AS INTEGER) AS query_id, vec_id, score FROM ({_TOP.format('scores')}) WHERE rank <= 10 AND query_id IN (50, 100, 150))"
 _BOTH = f"""
 {_FUSED}, {_VECTORS}, {_IMAGES}, mixed AS (
   SELECT query_id, 'DOCUMENT' AS modality, doc_id AS id, score FROM fused
@@ -265,7 +263,7 @@ _BOTH = f"""
 
 def _mixed(spark, d):
     docs = _fused(spark, d).select("query_id", F.lit("DOCUMENT").alias("modality"), F.col("doc_id").alias("id"), "score")
-    img = R.top(_scores(spark, d), 10).where("query_id BETWEEN 1 AND 3")
+    img = R.top(_scores(spark, d), 10).where("query_id IN (50, 100, 150)").withColumn("query_id", F.floor(F.col("query_id") / 50).cast("int"))
     # query 1 asks for both, 2 for images, 3 for documents; every third name holds a query word
     q = F.col("query_id")
     factor = U.image_factor(q != 2, q != 3, F.col("vec_id") % 3 == 0, F.lit(False))
@@ -371,8 +369,7 @@ cut0 AS (
     CASE WHEN (l_orderkey % 400) % 4 = 3 THEN NULL WHEN l_quantity > 40 THEN 'BEST' WHEN l_quantity > 15 THEN 'PARTIAL' ELSE 'RELATED' END AS tier,
     CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_suppkey % 7) / 6.0::DOUBLE END AS agreement,
     CASE WHEN (l_orderkey % 400) % 2 = 0 THEN 'IMAGE' ELSE 'DOCUMENT' END AS modality FROM lineitem
-), cut1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'BEST' THEN 3 WHEN 'PARTIAL' THEN 2 WHEN 'RELATED' THEN 1 ELSE 0 END DESC, score DESC, l_orderkey, l_linenumber) AS rank FROM cut0),
-cut AS (SELECT * FROM cut1 WHERE rank <= 12)
+), cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'BEST' THEN 3 WHEN 'PARTIAL' THEN 2 WHEN 'RELATED' THEN 1 ELSE 0 END DESC, score DESC, l_orderkey, l_linenumber) AS rank FROM cut0)
 """
 
 
@@ -402,5 +399,39 @@ def adaptive_result_cutoff(spark, d):
         F.when(q % 2 == 0, "IMAGE").otherwise("DOCUMENT").alias("modality"),
     )
     order = Window.partitionBy("query_id").orderBy(F.coalesce(U.tier_rank(F.col("tier")), F.lit(0)).desc(), F.desc("score"), "l_orderkey", "l_linenumber")
-    base = base.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 12")
+    base = base.withColumn("rank", F.row_number().over(order).cast("long"))
     return U.adaptive_cutoff(base).select("query_id", "rank", "utility", "shown", "reason")
+
+
+@query(f"""
+WITH {_CUT_ROWS} SELECT query_id, l_orderkey, l_linenumber, modality, tier FROM cut WHERE NOT (l_linenumber % 2 = 0 AND modality = 'IMAGE' AND coalesce(tier <> 'BEST', TRUE))
+""")
+def image_validation(spark, d):
+    """Of queries with two components (even line numbers) only whole matches stay among images."""
+    li = table(spark, d, "lineitem")
+    q = F.pmod("l_orderkey", F.lit(400)).cast("int")
+    tier = F.when(q % 4 == 3, None).when(F.col("l_quantity") > 40, "BEST").when(F.col("l_quantity") > 15, "PARTIAL").otherwise("RELATED")
+    rows_ = li.select(
+        q.alias("query_id"), "l_orderkey", "l_linenumber", F.when(q % 2 == 0, "IMAGE").otherwise("DOCUMENT").alias("modality"), tier.alias("tier"),
+        F.when(F.col("l_linenumber") % 2 == 0, 2).otherwise(1).alias("components"),
+    )
+    return U.validated_images(rows_).drop("components")
+
+
+@query("""
+SELECT l_suppkey % 20 AS query_id, l_orderkey AS id, CASE max(CASE WHEN l_quantity > 40 THEN 3 WHEN l_quantity > 15 THEN 2 ELSE 1 END) WHEN 3 THEN 'BEST' WHEN 2 THEN 'PARTIAL' ELSE 'RELATED' END AS tier
+FROM lineitem GROUP BY 1, 2
+""")
+def strongest_tier(spark, d):
+    """Tiers that several pivots gave one result; where none did it is related."""
+    tier = F.when(F.col("l_quantity") > 40, "BEST").when(F.col("l_quantity") > 15, "PARTIAL")
+    return U.strongest_tier(table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("query_id"), F.col("l_orderkey").alias("id"), tier.alias("tier")))
+
+
+@query(f"""
+WITH {expand_sql(5)}, long_ AS (SELECT DISTINCT query_id, unnest(tokens) AS token FROM asked),
+hit AS (SELECT token FROM (SELECT DISTINCT token FROM long_ WHERE length(token) >= 4) JOIN vocab ON starts_with(word, token) AND length(word) >= length(token) + 2 GROUP BY token HAVING count(*) >= 2)
+SELECT query_id, query_id IN (SELECT query_id FROM long_ JOIN hit USING (token)) AS strong FROM asked
+""")
+def strong_prefix(spark, d):
+    return I.strong_prefix(R.understood(query_set(spark)), I.vocabulary(I.chunks(table(spark, d, "documents"))))
