@@ -241,3 +241,93 @@ def test_import_without_training_data_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_posting_blocks_round_trip_and_refuse_damage():
+    from wherry.operators import codec
+
+    rows = [("b/é.txt", 3, 1, 0), ("a", 0, 300, 7), ("a", 200, 2, 255), ("b/é.txt", 2**31 - 1, 2**31 - 1, 1)]
+    block = codec.encoded(rows)
+    assert codec.decoded(block) == sorted(rows) and codec.decoded(codec.encoded([])) == []
+    assert block[:4] == bytes([2, 4, 1, 1])
+    with pytest.raises(ValueError):
+        codec.encoded([("a", 1, 1, 0), ("a", 1, 2, 0)])
+    bad = [block[:n] for n in range(len(block))] + [block + b"\0", b"\x01" + block[1:], bytes([2, 1, 0, 1, 1, 0]), bytes([2, 1, 1, 0, 0, 1, 0]), bytes([2, 1, 1, 1, 97, 0, 0, 0])]
+    for data in bad:
+        with pytest.raises(ValueError):
+            codec.decoded(data)
+
+
+def test_posting_blocks_are_bounded(spark):
+    from wherry.operators import codec
+
+    rows = spark.range(200).select(F.when(F.col("id") < 150, "hot").otherwise("cold").alias("hash"), F.concat(F.lit("p"), "id").alias("path"), F.lit(0).alias("chunk_index"), F.lit(1).alias("tf"), F.lit(0).alias("flags"))
+    blocks = codec.posting_blocks(rows, rows=25)
+    assert {r["hash"]: r["n"] for r in blocks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).collect()} == {"hot": 6, "cold": 2}
+    assert sorted(codec.postings_of(blocks).collect()) == sorted(rows.collect())
+
+
+def test_vector_codec(spark):
+    from wherry.operators import codec
+
+    rows = spark.createDataFrame([(1, [1.5, -2.0]), (2, None), (3, [])], "id int, v array<float>")
+    out = {r["id"]: r for r in rows.select("id", codec.vector_bytes(F.col("v")).alias("d")).select("id", "d", codec.vector_of(F.col("d")).alias("v")).collect()}
+    assert bytes(out[1]["d"]) == b"\x00\x00\xc0\x3f\x00\x00\x00\xc0" and out[1]["v"] == [1.5, -2.0]
+    assert out[2]["d"] is None and out[2]["v"] == [] and out[3]["v"] == []
+
+
+def test_provider_failures_are_rows(spark):
+    from wherry.operators import providers
+
+    class Picky:
+        def __call__(self, texts):
+            if "bad" in texts:
+                raise ValueError("refused")
+            return [len(t) for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None), (4, "")], "id int, text string").coalesce(1)
+    out = {r["id"]: (r["value"], r["error"]) for r in providers.provided(rows, Picky, "long").collect()}
+    assert out == {1: (3, None), 2: (None, "ValueError: refused"), 3: (None, None), 4: (0, None)}
+
+
+def test_routes_and_own_screenshots(spark):
+    tags = {"ro": "romance", "pt": "romance", "ca": "unsupported", "is": "germanic", "sl": "slavic", "tr": "turkish", "el": "greek", "EN ": "identity", "": "und", "xx": "unsupported"}
+    for tag, family in tags.items():
+        assert value(spark, I.language_route(F.lit(tag))) == family
+    for text, own in (("AI Search RESULTS", True), ("12 memories found", True), ("search results", False), (None, False)):
+        assert value(spark, files.own_screenshot(F.lit(text).cast("string"))) is own
+
+
+def test_person_names_equal_brute_force(spark, data):
+    import re
+
+    from wherry.plans import catalog
+
+    pattern = re.compile(r"\b[A-ZĂÂÎȘȚ][a-zăâîșț]+\s+[A-ZĂÂÎȘȚ][a-zăâîșț]+\b", re.A)
+    turns = spark.read.parquet(f"{data}/conversations.parquet").collect()
+    # Java's \b and \s as Spark uses them: letters of any script are word characters, blanks are ASCII
+    plain = re.compile(r"(?<!\w)[A-ZĂÂÎȘȚ][a-zăâîșț]+[ \t\n\x0B\f\r]+[A-ZĂÂÎȘȚ][a-zăâîșț]+(?!\w)")
+    got = {(r["conv_id"], r["turn"]): r["names"] for r in catalog.queries()["person_names"](spark, data).collect()}
+    assert len(got) == len(turns)
+    for r in turns:
+        text = r["text"] or ""
+        if text.isascii():
+            assert got[r["conv_id"], r["turn"]] == ", ".join(dict.fromkeys(pattern.findall(text)))
+        else:
+            assert got[r["conv_id"], r["turn"]] == ", ".join(dict.fromkeys(plain.findall(text)))
+
+
+def test_old_versions_go(spark, tmp_path):
+    t = feeds.VersionedTable(spark, str(tmp_path / "t"), "id long")
+    for v in range(4):
+        t.write(spark.range(v + 1), v)
+    assert t.versions() == [2, 3] and t.read().count() == 4
+
+
+def test_settled_columns_are_computed_once(spark):
+    from wherry.functions.barrier import settled
+
+    rows = settled(spark.range(3), x=F.sqrt(F.col("id") + 1)).where("x > 1").withColumn("y", F.col("x") * F.col("x"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT") == 1
+    assert sorted(round(r["y"], 6) for r in rows.collect()) == [2.0, 3.0]

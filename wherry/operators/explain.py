@@ -35,6 +35,28 @@ def missing(results: DataFrame) -> DataFrame:
     return rows.select("query_id", "doc_id", "m.reason", "m.state")
 
 
+def availability(evidence_rows: DataFrame) -> DataFrame:
+    """query_id, doc_id, state: whether all, some or none of a result's signals are available."""
+    some, all_ = F.bool_or("available"), F.bool_and("available")
+    return evidence_rows.groupBy("query_id", "doc_id").agg(F.when(all_, "AVAILABLE").when(some, "PARTIAL").otherwise("UNAVAILABLE").alias("state"))
+
+
+def header(results: DataFrame) -> DataFrame:
+    """One row: how many results there are, and of each kind (kind is null or empty for documents without one)."""
+    kind = F.upper(F.trim(F.coalesce("kind", F.lit(""))))
+    n = lambda k: F.count_if(kind == k)
+    return results.agg(
+        F.count(F.lit(1)).alias("results"), n("IMAGE").alias("images"), n("EMAIL").alias("emails"), n("PDF").alias("pdfs"),
+        F.count_if(~kind.isin("IMAGE", "EMAIL", "PDF")).alias("documents"),
+    )
+
+
+def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean, median and 95th percentile (interpolated) of each group."""
+    p = lambda q: F.round(F.percentile(value, q), 6)
+    return rows.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+
+
 def sentences(results: DataFrame) -> DataFrame:
     passages = F.concat(F.col("hits").cast("string"), F.when(F.col("hits") == 1, " passage").otherwise(" passages"))
     line = F.concat(F.lit("Rank "), F.col("rank").cast("string"), F.lit(": "), passages, F.lit(", best BM25 "), F.format_string("%.6f", "bm25"))

@@ -85,6 +85,18 @@ def atomic_conjunction(found: DataFrame, components: DataFrame, keep: int = 20)
     return rows.withColumn("ord", F.row_number().over(order).cast("long")).where(F.col("ord") <= keep)
 
 
+def validated_images(rows: DataFrame) -> DataFrame:
+    """Rows but the images that answer only a part of a query with several components."""
+    partial = (F.upper("modality") == "IMAGE") & ~F.coalesce(F.col("tier") == "BEST", F.lit(False))
+    return rows.where(~((F.col("components") > 1) & partial))
+
+
+def strongest_tier(rows: DataFrame) -> DataFrame:
+    """query_id, id, tier: the strongest tier that any pivot gave; RELATED where none did."""
+    best = rows.groupBy("query_id", "id").agg(F.max(F.coalesce(tier_rank(F.col("tier")), F.lit(1))).alias("t"))
+    return best.select("query_id", "id", F.when(F.col("t") == 3, "BEST").when(F.col("t") == 2, "PARTIAL").otherwise("RELATED").alias("tier"))
+
+
 TIER_RANK = {"BEST": 3, "PARTIAL": 2, "RELATED": 1}
 
 

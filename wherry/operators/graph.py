@@ -106,6 +106,12 @@ def expand(starts: DataFrame, relations: DataFrame, depth: int = 1, limit: int =
     return found.where(F.col("ord") <= limit)
 
 
+def materialised(steps: DataFrame) -> DataFrame:
+    """start, node, depth, origin: each node once; of several steps to it the last counts."""
+    last = F.max_by(F.struct("depth", "origin"), F.struct("depth", "origin")).alias("l")
+    return steps.groupBy("start", "node").agg(last).select("start", "node", "l.depth", "l.origin")
+
+
 def statistics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """One row: nodes, relations, tokens, lone nodes, tokenless nodes, largest and mean out-degree, density."""
     out = relations.groupBy("src").agg(F.count(F.lit(1)).alias("n"))

@@ -59,6 +59,43 @@ def canonical_postings(chunked: DataFrame) -> DataFrame:
     return rows.select(T.canonical_hash(F.col("term")).alias("hash"), "doc_id", "chunk_index")
 
 
+def counted_postings(chunked: DataFrame) -> DataFrame:
+    """hash, doc_id, chunk_index, tf: terms with how often they stand in a chunk; hashed once for each chunk."""
+    terms = T.canonical_terms(T.canonical_tokens(F.col("chunk_text")), once=False)
+    rows = chunked.select("doc_id", "chunk_index", F.explode(terms).alias("term")).groupBy("doc_id", "chunk_index", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(T.canonical_hash(F.col("term")).alias("hash"), "doc_id", "chunk_index", "tf")
+
+
+def published_lookup(hashes: DataFrame, index: DataFrame, files: DataFrame, limit: int = 1000) -> DataFrame:
+    """query_id, doc_id, chunk_index, matched, tf, ord: chunks of published files with any hash of each query.
+
+    ``index`` has counted postings, ``files`` doc_id and state. Most terms first, then most
+    occurrences, then by file and chunk; ``limit`` is the page.
+    """
+    asked = hashes.select("query_id", "hash").distinct()
+    shown = files.where(F.col("state") == "PUBLISHED").select("doc_id").distinct()
+    found = index.join(F.broadcast(asked), "hash").groupBy("query_id", "doc_id", "chunk_index").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("tf"), "doc_id", "chunk_index")
+    return found.join(shown, "doc_id", "left_semi").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= limit)
+
+
+def without_documents(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """Postings without those of ``gone`` (doc_id); a term that loses all its postings is gone too."""
+    return index.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def strong_prefix(asked: DataFrame, vocab: DataFrame, min_chars: int = 4, longer: int = 2, least: int = 2) -> DataFrame:
+    """query_id, strong: whether some token of ``min_chars`` or more starts ``least`` words that are ``longer`` characters longer."""
+    tokens = asked.select("query_id", F.explode("tokens").alias("token")).where(F.length("token") >= min_chars).distinct()
+    words = vocab.join(
+        F.broadcast(tokens.select("token").distinct()),  # the tokens of a stated query set
+        (F.substring("word", 1, min_chars) == F.substring("token", 1, min_chars)) & F.col("word").startswith(F.col("token")) & (F.length("word") >= F.length("token") + longer),
+    )
+    hit = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    found = tokens.join(hit, "token").select("query_id").distinct().withColumn("strong", F.lit(True))
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("strong", F.lit(False)).alias("strong"))
+
+
 def postings_lookup(hashes: DataFrame, index: DataFrame, every: bool = False, limit: int | None = None) -> DataFrame:
     """query_id, doc_id, chunk_index, matched, ord: chunks with any (or ``every``) hash of each query."""
     asked = hashes.select("query_id", "hash").distinct()
@@ -73,11 +110,11 @@ def postings_lookup(hashes: DataFrame, index: DataFrame, every: bool = False, li
 
 #: Translation families and the language tags they serve.
 FAMILIES = {
-    "romance": ("ro", "fr", "es", "it", "pt", "ca"),
-    "germanic": ("de", "nl", "da", "sv", "no"),
-    "slavic": ("ru", "uk", "bg", "pl", "cs", "sk", "hr", "sr"),
+    "romance": ("ro", "fr", "es", "it", "pt"),
+    "germanic": ("de", "nl", "sv", "da", "no", "is"),
+    "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
     "greek": ("el",),
-    "turkic": ("tr",),
+    "turkish": ("tr",),
 }
 
 

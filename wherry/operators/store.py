@@ -84,6 +84,19 @@ def status_counts(files: DataFrame) -> DataFrame:
     )
 
 
+def looked_up(results: DataFrame, files: DataFrame, mails: DataFrame) -> DataFrame:
+    """Results whose file is known, with its columns, and of mails those of the message (null for other kinds)."""
+    found = results.join(files, "id")
+    mail = mails.withColumnRenamed("id", "__mail")
+    return found.join(mail, (found["id"] == mail["__mail"]) & (F.upper("kind") == "EMAIL"), "left").drop("__mail")
+
+
+def since(listing: DataFrame, mark, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows beyond a high-water mark (all of them for none), and a row with the new mark."""
+    new = listing.where(F.col(order) > F.lit(mark)) if mark is not None else listing
+    return new, new.agg(F.coalesce(F.max(order), F.lit(mark)).alias("mark"))
+
+
 def migrated(old: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``old`` with the columns that a newer schema adds, null."""
     return old.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in old.columns})

@@ -158,3 +158,39 @@ def score_distribution(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("y"))
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("x")).join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     return E.distribution(o)
+
+
+@query(f"""
+WITH {_GRAPH}, e AS (SELECT DISTINCT src, dst FROM rels), one AS (SELECT src AS start, dst AS node, 1 AS depth, src AS origin FROM e),
+steps AS (SELECT * FROM one UNION ALL SELECT start, dst, 2, node FROM one JOIN e ON node = src)
+SELECT start, node, max(depth) AS depth, arg_max(origin, (depth, origin)) AS origin FROM steps WHERE start LIKE 'r%' GROUP BY start, node
+""")
+def expansion_last(spark, d):
+    """Nodes within two steps of each region, with the last step to them."""
+    _, rels = _graph(spark, d)
+    e = rels.select("src", "dst").distinct()
+    one = e.where("src LIKE 'r%'").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.col("src").alias("origin"))
+    two = one.join(e, one["node"] == e["src"]).select("start", F.col("dst").alias("node"), F.lit(2).alias("depth"), F.col("src").alias("origin"))
+    return G.materialised(one.unionByName(two))
+
+
+@query(f"""
+WITH {_CONF} SELECT query_id, doc_id, CASE WHEN semantic IS NOT NULL AND canonical IS NOT NULL AND bm25 IS NOT NULL AND coverage IS NOT NULL AND margin IS NOT NULL THEN 'AVAILABLE'
+  WHEN coalesce(semantic, canonical, bm25, coverage, margin) IS NOT NULL THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS state FROM conf
+""")
+def availability(spark, d):
+    return E.availability(E.evidence(_confidence(spark, d)))
+
+
+@query("""
+SELECT count(*) AS results, count(*) FILTER (o_orderkey % 4 = 0) AS images, count(*) FILTER (o_orderkey % 4 = 1) AS emails, count(*) FILTER (o_orderkey % 4 = 2) AS pdfs,
+  count(*) FILTER (o_orderkey % 4 = 3) AS documents FROM orders
+""")
+def report_header(spark, d):
+    kind = F.element_at(F.array(F.lit("IMAGE"), F.lit("email "), F.lit("PDF"), F.lit(None).cast("string")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return E.header(table(spark, d, "orders").select(kind.alias("kind")))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return E.latency(table(spark, d, "events"), "event_type", "value")

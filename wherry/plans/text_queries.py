@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import codec as Z
 from ..operators import graph as G
 from ..operators import index as I
+from ..operators import providers as P
 from ..operators import search as R
 from . import base as B
 from .base import query, query_set, rows, table
@@ -334,3 +336,57 @@ def recency_page(spark, d):
     """The newest rows first, a page of 50 (a top-k report: TakeOrderedAndProject, then ranks of 50 rows)."""
     page = table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
     return page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long"))
+
+
+@query(f"""
+WITH {_LOOKUP.replace("ct AS (SELECT DISTINCT doc_id, chunk_index, unnest(", "ct AS (SELECT doc_id, chunk_index, unnest(").replace("count(*) AS matched", "count(DISTINCT term) AS matched, count(*) AS tf")}
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, tf DESC, doc_id, chunk_index) AS ord FROM found WHERE doc_id % 4 <> 0) WHERE ord <= 1000
+""")
+def published_lookup(spark, d):
+    """The ranked lookup through published files: here all but every fourth document."""
+    docs = table(spark, d, "documents")
+    files = docs.select("doc_id", F.when(F.col("doc_id") % 4 != 0, "PUBLISHED").otherwise("PENDING").alias("state"))
+    asked = query_set(spark).select("query_id", F.explode(T.canonical_terms(T.canonical_tokens(F.col("query")))).alias("term"))
+    found = I.published_lookup(asked.select("query_id", T.canonical_hash(F.col("term")).alias("hash")), I.counted_postings(I.chunks(docs)), files)
+    return found.select("query_id", "doc_id", "chunk_index", "matched", "tf", F.col("ord").cast("long").alias("ord"))
+
+
+def _item_postings(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
+    return I.counted_postings(items)
+
+
+@query(f"WITH {_ITEM_TERMS} SELECT {_hash_sql('term')} AS hash, count(*) AS n FROM terms WHERE item_id % 3 <> 0 GROUP BY 1")
+def canonical_delete(spark, d):
+    """Postings that stay when every third item is deleted; terms of deleted items alone are gone."""
+    gone = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")).where("doc_id % 3 = 0")
+    return I.without_documents(_item_postings(spark, d), gone).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {_ITEM_TERMS}, every AS (SELECT item_id, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM k)
+SELECT {_hash_sql('term')} AS hash, 'item/' || item_id AS path, 0 AS chunk_index, CAST(count(*) AS INTEGER) AS tf, CAST(item_id % 8 AS INTEGER) AS flags FROM every GROUP BY item_id, term
+""")
+def posting_codec(spark, d):
+    """Postings packed into blocks and read back."""
+    p = _item_postings(spark, d).select(
+        "hash", F.concat(F.lit("item/"), "doc_id").alias("path"), "chunk_index", F.col("tf").cast("int").alias("tf"), (F.col("doc_id") % 8).cast("int").alias("flags")
+    )
+    return Z.postings_of(Z.posting_blocks(p, rows=16))
+
+
+@query("SELECT vec_id, 4 * len(embedding) AS n_bytes, TRUE AS same FROM embeddings")
+def vector_codec(spark, d):
+    """Vectors as blobs of 32-bit floats, and back."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", Z.vector_bytes(F.col("embedding")).alias("data"))
+    return v.select("vec_id", F.octet_length("data").cast("long").alias("n_bytes"), (Z.vector_of(F.col("data")) == F.col("embedding").cast("array<float>")).alias("same"))
+
+
+@query("""
+SELECT item_id, length(text) AS chars, length(text) - length(replace(text, ' ', '')) AS blanks, length(text) - length(replace(text, 'a', '')) AS a,
+  length(text) - length(replace(text, 'e', '')) AS e, length(text) - length(replace(text, 't', '')) AS t, CAST(NULL AS VARCHAR) AS error FROM benchmark
+""")
+def provider_vectors(spark, d):
+    """Vectors of a provider (here the deterministic stand-in) for every item."""
+    out = P.provided(table(spark, d, "benchmark").select("item_id", "text"), P.ShapeEncoder, "array<double>")
+    return out.select("item_id", *[F.get("value", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("chars", "blanks", "a", "e", "t"))], "error")

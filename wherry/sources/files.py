@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.sax.saxutils import unescape
 
 import pandas as pd
@@ -19,8 +20,8 @@ SKIPPED = r"(?i)/android/(data|obb)/|/cache/|/\.thumbnails/"
 IMAGES = T.IMAGE_EXTENSIONS
 DOCUMENTS = ("txt", "html", "htm", "csv", "json", "xml", "md", "rtf", "doc", "docx", "xls", "xlsx", "ppt", "pptx")
 PLAIN = ("txt", "csv", "json", "xml", "md", "html", "htm")
-#: Words by which a screenshot of the search itself is known; an overridable default.
-OWN_SCREENSHOT = ("indexed files", "search results", "semantic score", "clip vision")
+#: Words of which any one tells a screenshot of the search itself.
+OWN_SCREENSHOT = ("ai search results", "ai search explanation", "memories found", "ai detected the searched terms")
 
 
 def listing(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
@@ -49,7 +50,7 @@ def internal_artifact(name: Column) -> Column:
 
 def own_screenshot(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((low.contains(w).cast("int") for w in OWN_SCREENSHOT), F.lit(0)) >= 2
+    return reduce(lambda a, b: a | b, (low.contains(w) for w in OWN_SCREENSHOT))
 
 
 def resumed(files: DataFrame, last: str | None) -> DataFrame:

@@ -14,8 +14,14 @@ from ..operators import store as K
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wherry-")
+    """A fresh folder that all executors share; a local one only in local mode, where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = known.get()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="wherry-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -64,6 +70,10 @@ class VersionedTable:
     def write(self, rows: DataFrame, version: int) -> None:
         """Write a version; a repeated batch writes the same version again."""
         rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        # the version before stays for readers that have begun, and for a batch that comes again
+        p, fs = self._fs()
+        for old in self.versions()[:-2]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"v{old}"), True)
 
 
 def upserting(table: VersionedTable, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
