@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, dropped, written
+from .shared import ascii_lower, dropped, left, written
 
 #: (verdict, host + path), as the contract fixes them.
 RULES = (
@@ -18,8 +16,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 DAMPING = 0.85
-ITERATIONS = 20
-#: Mass still moving below which the walk stops.
+#: The walk stops when what still moves is below this share of the seeds' mass; each step damps
+#: it, so that takes at most ln(TOLERANCE) / ln(DAMPING), some 85, rounds.
 TOLERANCE = 1e-6
 #: A host is blocked from this much distrust on, if it has less trust.
 MIN_DISTRUST = 0.05
@@ -44,25 +42,24 @@ def matched_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float, iterations: int, tolerance: float) -> tuple[DataFrame, list[str]]:
-    """(host, mass): seeds plus all the mass that damped random walks carry from them.
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> tuple[DataFrame, str]:
+    """(host, mass): seeds plus all the mass that damped random walks carry from them, and the table's path.
 
     ``seeds`` has host and mass, ``edges`` src, dst and share (of the source's mass). Mass is
-    pre-aggregated before it moves, so a hub is one row per task; a round is a written table.
+    pre-aggregated before it moves, so a hub is one row per task; each round is one written
+    table of what moves and what has come so far, in place of the one before.
     """
-    total, step, paths = [seeds], seeds, []
-    for _ in range(iterations):
-        step = edges.join(step, edges["src"] == step["host"]).groupBy(F.col("dst").alias("host")).agg(
-            (F.sum(F.col("mass") * F.col("share")) * damping).alias("mass")
-        )
-        step, path = written(step, "rank")
-        paths.append(path)
-        moving = step.agg(F.sum("mass")).first()[0]
-        if not moving or moving < tolerance:
-            break
-        total.append(step)
-    mass = reduce(DataFrame.unionByName, total).groupBy("host").agg(F.round(F.sum("mass"), 9).alias("mass"))
-    return mass, paths
+    spark = seeds.sparkSession
+    state, path = written(seeds.select("host", F.col("mass").cast("double").alias("moving"), F.col("mass").cast("double").alias("mass")), "rank")
+    begun = moving = state.agg(F.sum("moving")).first()[0] or 0.0
+    while moving > tolerance * begun:
+        step = edges.join(state.where("moving > 0"), edges["src"] == state["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("moving") * F.col("share")) * damping).alias("come"))
+        new = state.select("host", "mass").join(step, "host", "full_outer").na.fill(0.0, ["mass", "come"])
+        new, new_path = written(new.select("host", F.col("come").alias("moving"), (F.col("mass") + F.col("come")).alias("mass")), "rank")
+        dropped(spark, path)
+        state, path = new, new_path
+        moving = state.agg(F.sum("moving")).first()[0] or 0.0
+    return state.select("host", F.round("mass", 9).alias("mass")), path
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -84,7 +81,6 @@ def url_filter(
     pages: DataFrame,
     rules=RULES,
     damping: float = DAMPING,
-    iterations: int = ITERATIONS,
     tolerance: float = TOLERANCE,
     min_distrust: float = MIN_DISTRUST,
 ) -> DataFrame:
@@ -92,8 +88,9 @@ def url_filter(
 
     A url that a rule fits gets the longest rule's verdict. The others are judged by host:
     a host's seed is the share of its pages that rules allow (trust) or block (distrust);
-    trust walks along links between hosts, distrust against them, and a host is blocked if
-    its distrust is at least ``min_distrust`` and above its trust.
+    trust walks along links between hosts, distrust against them, until less than ``tolerance``
+    of the seeds' mass moves, and a host is blocked if its distrust is at least ``min_distrust``
+    and above its trust.
 
     Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed.
     Null html has no links. Repeated rows get equal results; other columns are ignored; an
@@ -108,11 +105,14 @@ def url_filter(
     hosts, hosts_path = written(hosts, "hosts")
     edges, edges_path = written(host_edges(base), "host-edges")
     seed = lambda c: hosts.select("host", F.col(c).alias("mass")).where("mass > 0")
-    trust, used_t = propagated(seed("t"), _shares(edges, "src", "dst"), damping, iterations, tolerance)
-    distrust, used_d = propagated(seed("d"), _shares(edges, "dst", "src"), damping, iterations, tolerance)
+    along, along_path = written(_shares(edges, "src", "dst"), "links-along")
+    against, against_path = written(_shares(edges, "dst", "src"), "links-against")
+    trust, used_t = propagated(seed("t"), along, damping, tolerance)
+    distrust, used_d = propagated(seed("d"), against, damping, tolerance)
     judged = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full_outer")
-    judged, _ = written(judged.na.fill(0.0, ["trust", "distrust"]), "host-trust")
-    dropped(pages.sparkSession, hosts_path, edges_path, *used_t, *used_d)
+    judged, judged_path = written(judged.na.fill(0.0, ["trust", "distrust"]), "host-trust")
+    dropped(pages.sparkSession, hosts_path, edges_path, along_path, against_path, used_t, used_d)
+    left(judged_path)
     out = base.drop("html").join(judged, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") >= min_distrust) & (F.col("distrust") > F.col("trust"))
     return out.select(
