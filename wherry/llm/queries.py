@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("text_hash", "class_key")
 
 
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +28,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    """The key is the session's ``spark.wherry.pii.key``; without one, a fresh key links values within this run only."""
+    key = spark.conf.get("spark.wherry.pii.key", None)
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key.encode() if key else secrets.token_bytes(32))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +50,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL spares documents by share; the pipeline removes boilerplate from all with lines of their own
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), max_share=line_dedup.MAX_SHARE).drop("was")
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +69,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 WARC_SQL = f"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages WHERE page_id IS NOT NULL
-), g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
-  CASE WHEN n >= {warc.MIN_REVISIT_BYTES} AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {warc.MIN_REVISIT_BYTES} AND top <> page_id THEN top END AS refers_to,
-  TRUE AS complete
-FROM g
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+r AS (SELECT *, n >= {warc.MIN_REVISIT_BYTES} AND top IS NOT NULL AND top IS DISTINCT FROM page_id AS again FROM g)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN top END AS refers_to, TRUE AS complete
+FROM r
 """
 
 EXACT_DEDUP_SQL = r"""
@@ -100,7 +102,7 @@ d AS (
 ), e AS (
   SELECT *, coalesce(array_to_string(kept, chr(10)), '') AS cleaned FROM d
 ), f AS (
-  SELECT *, len(kept) = len(lines) OR length(text) - length(cleaned) > {line_dedup.MAX_SHARE} * length(text) AS whole FROM e
+  SELECT *, len(kept) = len(lines) OR len(list_filter(kept, lambda x: trim(x, {_EDGE}) <> '')) = 0 AS whole FROM e
 )
 SELECT doc_id, CASE WHEN whole THEN text ELSE cleaned END AS text,
   CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
@@ -147,7 +149,8 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
 
 
 def url_sql() -> str:
-    """The rules, and the walks unrolled as far as DuckDB's tables need (their links stay on their hosts)."""
+    """The rules, and the walks as recursion, as many rounds as damping to the tolerance may take."""
+    rounds = math.ceil(math.log(url_filter.TOLERANCE) / math.log(url_filter.DAMPING))
     case_rule, case_says = [], []
     for says, name in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
         at = name.index("/")
@@ -158,17 +161,20 @@ def url_sql() -> str:
     link = url_filter.LINK.replace("'", "''")
     walks = []
     for seed, src, dst in (("t", "src", "dst"), ("d", "dst", "src")):
-        walks.append(f"{seed}_e AS (SELECT {src} AS src, {dst} AS dst, 1.0 / count(*) OVER (PARTITION BY {src}) AS share FROM edges)")
-        walks.append(f"{seed}0 AS (SELECT host, {seed} AS mass FROM hosts WHERE {seed} > 0)")
-        for k in range(1, url_filter.ITERATIONS + 1):
-            walks.append(
-                f"{seed}{k} AS (SELECT dst AS host, sum(mass * share) * {url_filter.DAMPING} AS mass "
-                f"FROM {seed}_e JOIN {seed}{k - 1} ON src = host GROUP BY dst)"
-            )
-        union = " UNION ALL ".join(f"SELECT * FROM {seed}{k}" for k in range(url_filter.ITERATIONS + 1))
-        walks.append(f"{seed}_m AS (SELECT host, round(sum(mass), 9) AS mass FROM ({union}) GROUP BY host)")
+        walks.append(f"{seed}_e AS (SELECT {src} AS src, {dst} AS dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY {src}) AS share FROM edges)")
+        walks.append(
+            f"{seed}_w AS (SELECT 0 AS k, host, CAST({seed} AS DOUBLE) AS mass FROM hosts WHERE {seed} > 0 UNION ALL "
+            f"SELECT k + 1, dst, sum(mass * share) * {url_filter.DAMPING}::DOUBLE FROM {seed}_w JOIN {seed}_e ON src = {seed}_w.host "
+            f"WHERE k <= {rounds} GROUP BY k, dst)"
+        )
+        # rounds in which less than the tolerance moved before are not walked
+        walks.append(f"{seed}_k AS (SELECT k, sum(mass) AS moving FROM {seed}_w GROUP BY k)")
+        walks.append(
+            f"{seed}_m AS (SELECT host, round(sum(mass), 9) AS mass FROM {seed}_w WHERE k = 0 OR "
+            f"(SELECT moving FROM {seed}_k WHERE {seed}_k.k = {seed}_w.k - 1) > {url_filter.TOLERANCE} * (SELECT moving FROM {seed}_k WHERE k = 0) GROUP BY host)"
+        )
     return f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), r AS (

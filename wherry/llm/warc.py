@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import dropped, fresh_path, written
+from .shared import dropped, fresh_path, left, small_batches, written
 
 EOL = "\r\n"
 #: Bytes of a record's block beyond which it continues in further records.
@@ -25,7 +25,7 @@ _DATE = "2026-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = "origin string, segment int, total long, type string, refers_to string, digest string, block binary"
-PAYLOAD = "origin string, type string, refers_to string, payload binary, complete boolean"
+PAYLOAD = "origin string, type string, refers_to string, digest string, payload binary, complete boolean"
 
 
 # ------------------------------------------------------------------ framing
@@ -95,7 +95,7 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> str:
 
 
 def records_of(page: str, url: str, payload: bytes, refers_to: str | None, segment: int, chunk: int) -> Iterator[str]:
-    """The page's record, and its continuations if its block is longer than a segment."""
+    """The record named ``page``, and its continuations if its block is longer than a segment."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     same = [("WARC-Target-URI", url), ("WARC-Date", _DATE), ("WARC-Payload-Digest", digest)]
     if refers_to is not None:
@@ -212,11 +212,11 @@ def _reassembled(parts: list[dict]) -> dict:
 def _decoded(x: dict, payload: bytes, whole: bool) -> dict:
     said = (x["digest"] or "").partition(":")[2]
     fits = not said or said == base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    return {"origin": x["origin"], "type": "response", "refers_to": None, "payload": payload, "complete": whole and fits}
+    return {"origin": x["origin"], "type": "response", "refers_to": None, "digest": x["digest"], "payload": payload, "complete": whole and fits}
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """(origin, type, refers_to, payload, complete), one row per origin.
+    """(origin, type, refers_to, digest, payload, complete), one row per origin.
 
     Records with a segment number are grouped by origin identifier and ordered by number; the
     total length of the last segment, gapless numbers, the chunked framing and the payload
@@ -231,7 +231,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                 done = []
                 for x in batch.slice(at, 64).to_pylist():
                     if x["type"] == "revisit":
-                        done.append({"origin": x["origin"], "type": "revisit", "refers_to": x["refers_to"], "payload": None, "complete": True})
+                        done.append({"origin": x["origin"], "type": "revisit", "refers_to": x["refers_to"], "digest": x["digest"], "payload": None, "complete": True})
                     else:
                         done.append(_decoded(x, *http_payload(x["block"])))
                 yield pa.RecordBatch.from_pylist(done, schema=out)
@@ -268,33 +268,38 @@ def warc_round_trip(
     page_id is the response and the others revisit it. Payload size and digest of a revisit
     are those of the response it names, read from the archive.
 
-    Null html is an empty payload, a null url an empty target. A null page_id, which no record
-    can name, is left out; repeated rows are one page. An empty table gives an empty result;
-    other columns are ignored.
+    Every row has a record of its own, named by its page_id and a number of the row: rows that
+    share an id with other html, or repeat, are told apart, and null ids have records too. A null
+    id is never the largest; if an equal payload has no other id, each row is a response, as are
+    all rows that repeat the largest id. Null html is an empty payload, a null url an empty
+    target. An empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.where("page_id IS NOT NULL").withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})
+    rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})
     long = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies"))
     # written, so that its size is known: Spark broadcasts it below its threshold and shuffles beyond
-    long, long_path = written(long.where("copies > 1").select("digest", "response"), "payloads")
+    long, long_path = written(long.where("copies > 1 AND response IS NOT NULL").select("digest", "response"), "payloads")
     rows = rows.join(long, "digest", "left")
-    rows = rows.select(
-        F.col("page_id").cast("string").alias("key"), "url", "html",
-        F.when(F.col("response") != F.col("page_id"), F.col("response")).cast("string").alias("refers_to"),
-    )
+    name = F.concat_ws(".", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string"))
+    again = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id"))
+    rows = rows.select(name.alias("key"), "url", "html", F.when(again, F.col("response")).cast("string").alias("refers_to"))
     path = fresh_path(spark, "warc")
     write_warc(rows, path, segment_bytes, chunk_bytes)
     back = reassemble(read_records(spark, path))
-    page = lambda c: F.regexp_extract(c, r"page:(\d+|-\d+)>", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"page:(-?\d+)[.>]", 1)
+    number = lambda c: F.when(page(c) != "", page(c)).cast("long")
     back = back.select(
-        page("origin").alias("page_id"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
+        number("origin").alias("page_id"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), F.col("digest").alias("said"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "complete",
-    ).dropDuplicates(["page_id"])
-    back, _ = written(back, "warc-read")
+    )
+    back, back_path = written(back, "warc-read")
     dropped(spark, path, long_path)
-    said = back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    left(back_path)
+    revisits = back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "said")
     held = back.where("record_type = 'response'")
-    target = held.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", "complete")
+    # a revisit names the page and the payload, so another page under the same id is not meant
+    target = held.select(F.col("page_id").alias("refers_to"), "said", "payload_bytes", "payload_digest", "complete").dropDuplicates(["refers_to", "said"])
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"]
-    return held.select(columns).unionByName(said.join(target, "refers_to", "left").select(columns))
+    return held.select(columns).unionByName(revisits.join(target, ["refers_to", "said"], "left").select(columns))
