@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_of
+from .shared import small_batches, texts_of
 
-KEY = b"change me: the key that links pseudonyms"
 ROUNDS = 10
 KINDS = ("card", "date", "email", "iban", "ip", "phone", "secret", "ssn")
 
@@ -39,6 +38,8 @@ class Feistel:
     """A keyed permutation of 0 .. n - 1 for any n: a balanced network, walked until it is inside."""
 
     def __init__(self, key: bytes, rounds: int = ROUNDS) -> None:
+        if not key:
+            raise ValueError("pseudonyms need a secret key")
         self.key, self.rounds = hashlib.blake2b(key, digest_size=32).digest(), rounds
 
     def _round(self, kind: str, n: int, r: int, half: int, bits: int) -> int:
@@ -182,7 +183,7 @@ FORMATS = {"card": _card, "date": _date, "email": _email, "iban": _iban, "ip": _
 
 
 class Pseudonymiser:
-    def __init__(self, key: bytes = KEY, rounds: int = ROUNDS) -> None:
+    def __init__(self, key: bytes, rounds: int = ROUNDS) -> None:
         self.feistel = Feistel(key, rounds)
 
     def text(self, text: str | None) -> tuple[str | None, list[int]]:
@@ -205,20 +206,23 @@ class Pseudonymiser:
         return "\n".join(lines), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text, n_values and a count of each kind (n_card, n_date, ...).
 
     Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, social security numbers, telephone
     numbers, calendar dates 1900-2099, e-mail addresses and hexadecimal secrets that pass
     validation are permuted within their format by a keyed Feistel network: pseudonyms pass
     the same validation, separators stay, and equal values have equal pseudonyms everywhere.
-    Numbers that fail validation stay as they are.
+    Numbers that fail validation stay as they are. Whoever has ``key`` can reverse pseudonyms, so
+    there is no default; an empty one is refused.
 
     Null text stays null, empty text empty, with counts 0. Repeated rows and null ids get a
     row each; other columns are ignored; an empty table gives an empty result.
     """
     names = [f"n_{k}" for k in KINDS]
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((n, pa.int64()) for n in names)])
+    small_batches(docs.sparkSession)
+    Feistel(key)  # refuses an empty key here rather than in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Pseudonymiser(key)
