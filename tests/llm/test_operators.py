@@ -170,6 +170,14 @@ def brute_edges(labels, trees, depth, prefix, crowd):
     return groups
 
 
+def test_bitmap_loses_no_key(spark, monkeypatch):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("row"))
+    bits = ngram_join.bitmap(keys)
+    held = lambda k: k.withColumn("place", F.expr(ngram_join.PLACE)).join(F.broadcast(bits), "place").where(ngram_join.HOLDS).count()
+    assert held(keys) == 3000
+    assert held(spark.range(10_000, 20_000).select(F.xxhash64("id").alias("row"))) < 30
+
+
 @pytest.mark.parametrize("batch", [7, 1000])
 def test_node_runs_equal_brute_force(batch):
     rng = random.Random(21)
