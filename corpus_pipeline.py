@@ -51,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped(spark, path)
     left(others_path, again_path)
     same = (F.xxhash64("text") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    kept = docs.join(others, same, "left_anti")
+    kept = docs.join(others.hint("shuffle_hash"), same, "left_anti")  # the same plan at every size; texts need no sort
     if again.isEmpty():
         return kept
     # rows that repeat id and text are rare: only they are brought together
