@@ -48,7 +48,7 @@ def empty(spark):
 
 def duck(data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "clicks", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     return con.sql(queries.oracle_sql()[name])
 

@@ -1,4 +1,4 @@
-"""The ten operators' queries over the driver's tables, and their SQL."""
+"""The training-data operators' queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, pii, sentencepiece_codec, toxicity, url_filter, warc
+from . import bpe_codec, clustering, decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, pii, row_pattern, sentencepiece_codec, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +58,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = row_pattern.row_matches(_table(spark, sf_dir, "clicks"))
+    return found.select("client_id", "match_no", "first_id", "last_id", "n_rows", "sum_cents", F.sha2("labels", 256).alias("labels_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_codec.encode(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_ngram_join, op2_warc_segments, op3_toxicity, op4_pii_pseudonyms, op5_license_scan,
         op6_exact_dedup, op7_url_filter, op8_sentencepiece, op9_line_dedup, op10_decontaminate,
+        op11_row_pattern, op12_centroids, op13_bpe,
     )
     return {f.__name__: f for f in made}
 
@@ -194,6 +212,71 @@ FROM r LEFT JOIN t_m ON r.host = t_m.host LEFT JOIN d_m ON r.host = d_m.host
 """
 
 
+_MINUTES_30 = row_pattern.GAP_US
+#: All D and U rows in one run after the start belong to (D+ U+)+ as far as its last U, if its first is D.
+ROW_PATTERN_SQL = f"""
+WITH c AS (
+  SELECT client_id, ts, click_id, kind, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents
+  FROM (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)
+), n AS (
+  SELECT *, row_number() OVER w AS rn, lag(cents) OVER w AS was, epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {_MINUTES_30} AS near
+  FROM c WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id)
+), l AS (
+  SELECT *, CASE WHEN near AND kind <> 'error' AND cents < was THEN 'D' WHEN near AND kind <> 'error' AND cents > was THEN 'U' END AS letter,
+    coalesce(near AND was IS NOT NULL AND kind = 'click', FALSE) AS goal FROM n
+), r AS (
+  SELECT *, sum(CASE WHEN letter IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY rn) AS run FROM l
+), runs AS (
+  SELECT client_id, run, max(rn) FILTER (letter = 'U') AS last_up, string_agg(coalesce(letter, ''), '' ORDER BY rn) AS letters,
+    min(rn) FILTER (letter IS NOT NULL) AS first_on FROM r GROUP BY client_id, run
+), s AS (
+  SELECT a.client_id, a.rn, a.click_id AS first_id, a.cents, g.last_up, substring(g.letters, CAST(b.rn - g.first_on + 1 AS BIGINT), CAST(g.last_up - b.rn + 1 AS BIGINT)) AS body
+  FROM r a JOIN r b ON a.client_id = b.client_id AND b.rn = a.rn + 1 JOIN runs g ON b.client_id = g.client_id AND b.run = g.run
+  WHERE a.cents IS NOT NULL AND b.letter = 'D' AND g.last_up > b.rn
+), e AS (
+  SELECT s.*, coalesce(p.goal AND p.cents >= s.cents, FALSE) AS ends, CASE WHEN ends THEN s.last_up + 1 ELSE s.last_up END AS last_rn
+  FROM s LEFT JOIN r p ON s.client_id = p.client_id AND p.rn = s.last_up + 1
+), t AS (SELECT client_id, rn, click_id, sum(coalesce(cents, 0)) OVER (PARTITION BY client_id ORDER BY rn) AS total FROM r)
+SELECT e.client_id, row_number() OVER (PARTITION BY e.client_id ORDER BY e.rn) AS match_no, e.first_id, z.click_id AS last_id,
+  CAST(e.last_rn - e.rn + 1 AS BIGINT) AS n_rows, CAST(z.total - a.total + e.cents AS BIGINT) AS sum_cents,
+  sha256('A' || e.body || CASE WHEN e.ends THEN 'P' ELSE '' END) AS labels_sha256
+FROM e JOIN t a ON e.client_id = a.client_id AND e.rn = a.rn JOIN t z ON e.client_id = z.client_id AND e.last_rn = z.rn
+"""
+
+
+def centroids_sql() -> str:
+    """Every vector against every centroid, round by round."""
+    c = clustering
+    out = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+    row_number() OVER (ORDER BY sha256('{c.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), vec_id) - 1 AS place
+  FROM embeddings WHERE len(embedding) = {c.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.DIMENSIONS}
+), c0 AS (SELECT CAST(place AS INTEGER) AS cluster, v AS c FROM k WHERE place < {c.CENTROIDS})"""
+    far = f"list_sum(list_transform(range(1, {c.DIMENSIONS + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    for r in range(c.ROUNDS + 1):
+        out += f""",
+a{r} AS MATERIALIZED (
+  SELECT place, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(cluster, (d, cluster)) AS cluster, CAST(min(d) AS BIGINT) AS distance
+  FROM (SELECT place, vec_id, v, cluster, {far} AS d FROM k, c{r}) GROUP BY place
+)"""
+        if r < c.ROUNDS:
+            out += f""",
+m{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range({c.DIMENSIONS})) AS i FROM a{r}) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(any_value(new), any_value(old)) AS c FROM (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS new, NULL AS old FROM m{r} GROUP BY cluster
+    UNION ALL SELECT cluster, NULL, c FROM c{r}
+  ) GROUP BY cluster
+)"""
+    end = c.ROUNDS
+    return out + f"""
+SELECT vec_id, a{end}.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a{end}.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{end} JOIN c{end} ON a{end}.cluster = c{end}.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Operators that SQL can express; the others are tested against brute force in tests/llm."""
     return {
@@ -202,4 +285,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": EXACT_DEDUP_SQL,
         "op7_url_filter": url_sql(),
         "op9_line_dedup": LINE_DEDUP_SQL,
+        "op11_row_pattern": ROW_PATTERN_SQL,
+        "op12_centroids": centroids_sql(),
     }
