@@ -15,14 +15,20 @@ def total(values: Column) -> Column:
 
 def bm25(tokens: Column, words: Column) -> Column:
     """Saturated term counts of ``tokens`` (repeats count) in ``words``, and a bonus if all stand there."""
-    norm = K1 * ((1 - B) + B * F.size(words) / AVERAGE_WORDS)
     count = lambda t: F.when(F.length(t) < 2, 0).otherwise(F.size(F.filter(words, lambda w: w == t)))
+    return bm25_of(F.transform(tokens, count), F.size(words))
+
+
+def bm25_of(counts: Column, n_words: Column) -> Column:
+    """The same of counts, one for each token, in a text of ``n_words``."""
+    norm = K1 * ((1 - B) + B * n_words / AVERAGE_WORDS)
+
     def scored(counts: Column) -> Column:
         every = (F.size(counts) > 0) & F.forall(counts, lambda n: n > 0)
         return total(F.transform(counts, lambda n: n * (K1 + 1) / (n + norm))) + F.when(every, ALL_MATCHED).otherwise(0.0)
 
     # counts are named through a lambda, so that they are taken once
-    return F.get(F.transform(F.array(F.transform(tokens, count)), scored), 0)
+    return F.get(F.transform(F.array(counts), scored), 0)
 
 
 def token_weights(tokens: Column) -> Column:
@@ -67,7 +73,11 @@ def first_prefix_position(words: Column, token: Column) -> Column:
 def proximity(tokens: Column, words: Column) -> Column:
     """4, 2, 1 or 0 by the least distance of the first places of two different tokens."""
     places = F.transform(F.array_distinct(tokens), lambda t: first_prefix_position(words, t))
-    places = F.filter(places, lambda p: p >= 0)
+    return proximity_of(tokens, F.filter(places, lambda p: p >= 0))
+
+
+def proximity_of(tokens: Column, places: Column) -> Column:
+    """The same of the first places of the different tokens that have one."""
     # the least distance of any two is that of neighbours in order
     ordered = F.array_sort(places)
     gaps = F.zip_with(F.slice(ordered, 2, 1 << 20), F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda b, a: b - a)
@@ -78,6 +88,11 @@ def proximity(tokens: Column, words: Column) -> Column:
 def in_window(tokens: Column, words: Column, width: int = WINDOW_WORDS) -> Column:
     """All tokens start a word within some ``width`` consecutive words."""
     hits = F.transform(tokens, lambda t: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).startswith(t)))
+    return in_window_of(tokens, hits, width)
+
+
+def in_window_of(tokens: Column, hits: Column, width: int = WINDOW_WORDS) -> Column:
+    """The same of the places at which each token starts a word."""
     starts = F.array_distinct(F.flatten(hits))
     near = F.exists(starts, lambda s: F.forall(hits, lambda h: F.exists(h, lambda p: (p >= s) & (p < s + width))))
     return (F.size(tokens) < 2) | near

@@ -138,7 +138,11 @@ DOMAIN, VERSION = "term", "norm-v1"
 
 def canonical_hash(term: Column, version: str = VERSION, domain: str = DOMAIN) -> Column:
     """32 hex characters of SHA-256 over length-prefixed domain, version and trimmed, collapsed text."""
-    text = F.trim(F.regexp_replace(canonical(term), r"\s+", " "))
+    return hash_of(F.trim(F.regexp_replace(canonical(term), r"\s+", " ")), version, domain)
+
+
+def hash_of(text: Column, version: str = VERSION, domain: str = DOMAIN) -> Column:
+    """The canonical hash of text that is in canonical form already, as the terms of ``canonical_terms`` are."""
     fields = (F.lit(domain), F.lit(version), text)
     parts = [x for f in fields for x in (F.unhex(F.lpad(F.hex(F.octet_length(f)), 8, "0")), F.encode(f, "utf-8"))]
     return F.substring(F.sha2(F.concat(*parts), 256), 1, 32)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.feeds import work_dir
+
 #: Partitions that a window of a level holds at most.
 FAN = 256
 
@@ -39,3 +41,28 @@ def offsets(counts: DataFrame, by: list[str], part: str = "part", n: str = "n")
         shift += 8
         level = level.groupBy(*by, block.alias("__p")).agg(F.sum("__n").alias("__n"))
     return out.select(*by, F.col("__p").cast("int").alias(part), F.col("__before").alias("before"))
+
+
+def ranked(rows: DataFrame, order: list, out: str = "rank") -> DataFrame:
+    """``rows`` with their place (from 1) in a global order of columns such as ``F.desc("score")`` or names; the order must be total for the places to be determined.
+
+    Rows are sorted over all tasks and written once, in that order; a row's place is its place
+    in its partition and the rows of those before it. No rows give no rows.
+    """
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    path = work_dir(spark, "ranked")
+    placed.write.parquet(path)
+    lined = spark.read.schema(placed.schema).parquet(path)
+    # (the number of the partition, and the place in it, as Spark documents them)
+    part = F.shiftright("__at", 33).cast("int")
+    lined = lined.withColumns({"__part": part, "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = offsets(lined.groupBy("__part").agg(F.count(F.lit(1)).alias("n")), [], "__part")
+    return lined.join(before, "__part").withColumn(out, F.col("before") + F.col("__place") + 1).drop("__at", "__part", "__place", "before")
+
+
+def rank_correlation(scores: DataFrame, a: str, b: str, position: list[str]) -> DataFrame:
+    """One row: n, pearson and rank (the correlation of descending ranks; ties go by position). Null scores rank last; fewer than two rows correlate with nothing."""
+    one = ranked(scores.select(a, b, *position), [F.desc_nulls_last(a), *position], "__a")
+    two = ranked(one, [F.desc_nulls_last(b), *position], "__b")
+    return two.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.corr("__a", "__b"), 6).alias("rank"))

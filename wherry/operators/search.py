@@ -45,17 +45,36 @@ def complete_chunks(asked: DataFrame, chunked: DataFrame) -> DataFrame:
     return rows.select("query_id", "tokens", "doc_id", "chunk_index", "words")
 
 
+def with_expansions(asked: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Adds ``exps``: query tokens first, then the words they expand to, each once, with the weight of the closest token."""
+    own = asked.select("query_id", F.explode("tokens").alias("token"))
+    more = own.join(F.broadcast(expanded), "token").groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("more"))
+    asked = asked.join(F.broadcast(more), "query_id", "left")
+    every = F.array_distinct(F.concat("tokens", F.coalesce("more", F.array().cast("array<string>"))))
+    best = lambda e: F.array_max(F.transform("tokens", lambda t: S.prefix_weight(t, e)))
+    return asked.withColumn("exps", F.transform(every, lambda e: F.struct(e.alias("token"), best(e).alias("weight"))))
+
+
+def settle_scores(rows: DataFrame) -> DataFrame:
+    """The score of chunks from their signals; those under the least score go.
+
+    Signals that were not looked for are none: ``semantic`` and ``meta`` are 0 then, and all
+    chunks have the query's words unless ``provenance`` says that only canonical terms found them.
+    """
+    given = lambda name: F.coalesce(F.col(name), F.lit(0.0)) if name in rows.columns else F.lit(0.0)
+    only = F.col("provenance") == "canonical" if "provenance" in rows.columns else F.lit(False)
+    score = S.chunk_score(F.col("bm25"), given("semantic"), F.col("boost"), given("meta"), F.col("proximity"), F.col("coverage"), only)
+    least = F.when(F.size("tokens") == 1, MIN_SCORE_SINGLE).otherwise(MIN_SCORE)
+    rows = settled(rows.withColumn("least", least), score=F.round(score, 6)).where("score >= least").drop("least")
+    bonus = F.when(only, 0.0).otherwise(5.0 + F.when(F.col("proximity") >= 2.0, 6.0).otherwise(0.0))
+    return rows.withColumn("score", F.round(F.col("score") + bonus, 6))
+
+
 def scored_chunks(asked: DataFrame, chunked: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, chunk_index and the signals and score of every complete chunk."""
     columns = ["query_id", "weights"]
     if expanded is not None:
-        own = asked.select("query_id", F.explode("tokens").alias("token"))
-        more = own.join(F.broadcast(expanded), "token").groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("more"))
-        asked = asked.join(F.broadcast(more), "query_id", "left")
-        # query tokens first, then the words they expand to; a repeated word counts once
-        every = F.array_distinct(F.concat("tokens", F.coalesce("more", F.array().cast("array<string>"))))
-        best = lambda e: F.array_max(F.transform("tokens", lambda t: S.prefix_weight(t, e)))
-        asked = asked.withColumn("exps", F.transform(every, lambda e: F.struct(e.alias("token"), best(e).alias("weight"))))
+        asked = with_expansions(asked, expanded)
         columns.append("exps")
     rows = settled(complete_chunks(asked, chunked), together=S.in_window(F.col("tokens"), F.col("words"))).where("together")
     rows = rows.join(F.broadcast(asked.select(columns)), "query_id")
@@ -68,11 +87,7 @@ def scored_chunks(asked: DataFrame, chunked: DataFrame, expanded: DataFrame | No
         rows = settled(rows, boost=S.total(F.transform("held", lambda e: e["weight"] * 0.80)), bm25=S.bm25(F.concat("tokens", added), F.col("words")))
     rows = rows.where("bm25 > 0")
     rows = settled(rows, coverage=S.coverage(F.col("weights"), F.col("words")), proximity=S.proximity(F.col("tokens"), F.col("words")))
-    score = S.chunk_score(F.col("bm25"), F.lit(0.0), F.col("boost"), F.lit(0.0), F.col("proximity"), F.col("coverage"), F.lit(False))
-    least = F.when(F.size("tokens") == 1, MIN_SCORE_SINGLE).otherwise(MIN_SCORE)
-    rows = settled(rows.withColumn("least", least).drop("words", "weights", "exps", "held"), score=F.round(score, 6)).where("score >= least").drop("least")
-    bonus = 5.0 + F.when(F.col("proximity") >= 2.0, 6.0).otherwise(0.0)
-    return rows.withColumn("score", F.round(F.col("score") + bonus, 6))
+    return settle_scores(rows.drop("words", "weights", "exps", "held"))
 
 
 def documents(scored: DataFrame) -> DataFrame:
@@ -87,9 +102,14 @@ def documents(scored: DataFrame) -> DataFrame:
     return rolled.withColumn("score", F.round(F.col("best") + 0.5 * F.least("hits", F.lit(5)), 6)).drop("best")
 
 
+def relative_share():
+    """Share of the best score from which a query's documents stay."""
+    return F.when((F.size("tokens") == 1) & (F.length(F.get("tokens", F.lit(0))) <= 4), 0.70).otherwise(0.80)
+
+
 def accepted(docs: DataFrame, asked: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Documents near their query's best score, at most ``per_class`` each (a top-k report)."""
-    short = asked.select("query_id", F.when((F.size("tokens") == 1) & (F.length(F.get("tokens", F.lit(0))) <= 4), 0.70).otherwise(0.80).alias("share"))
+    short = asked.select("query_id", relative_share().alias("share"))
     # row_number below a constant: each task keeps its own first ones before anything moves; the
     # best of them is the best of all, so the cut needs no second look at the documents
     whole = Window.partitionBy("query_id")
@@ -104,7 +124,10 @@ def search(queries: DataFrame, docs: DataFrame, expand: bool = False) -> DataFra
     expanded = None
     if expand:
         expanded = I.expansions(asked.select(F.explode("tokens").alias("token")), I.vocabulary(chunked))
-    found = accepted(documents(scored_chunks(asked, chunked, expanded)), asked)
+    return presented(accepted(documents(scored_chunks(asked, chunked, expanded)), asked))
+
+
+def presented(found: DataFrame) -> DataFrame:
     return found.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "hits", F.col("chunk_index").cast("long").alias("chunk_index"),
         F.round("bm25", 6).alias("bm25"), F.round("coverage", 6).alias("coverage"),
