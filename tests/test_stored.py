@@ -115,13 +115,16 @@ def test_both_classes(spark, tmp_path):
     lines = {1: "with this and more words", 2: "with that and this", 3: "dans les rues", 4: "dans la rue", 5: "with les nothing", 6: "dans les withal thistle"}
     index = D.StoredIndex(spark, str(tmp_path))
     index.add(docs(spark, list(lines.items())))
-    queries = spark.createDataFrame([(1, "with this", ["dans les"])], "query_id int, query string, hypotheses array<string>")
-    got = {r["doc_id"]: r for r in H.hybrid_search(queries, index).collect()}
-    # 5 has one of the words, so it needs both; 4 has one term of three
-    assert {i: r["canonical_only"] for i, r in got.items()} == {1: False, 2: False, 3: True, 6: True}
-    assert got[3]["coverage"] == 1.0 and got[3]["bm25"] == 0.0
-    # words that start with the query's words count for boost and nearness: 2.5 + 2 * 0.8 + 4 against 2.5
-    assert (got[6]["score"], got[3]["score"]) == (8.6, 3.0) if 3 in got else True
+    rows = [(1, "with this", ["dans les"]), (2, "zzword thisx", ["nothing here at all", "dans les"])]
+    queries = spark.createDataFrame(rows, "query_id int, query string, hypotheses array<string>")
+    found = H.hybrid_search(queries, index).collect()
+    got = {r["doc_id"]: r for r in found if r["query_id"] == 1}
+    # 5 has one of the words, so it needs both; 3 is far below 6, whose words start with the query's: 2.5 + 2 * 0.8 + 4 + 0.5
+    assert {i: r["canonical_only"] for i, r in got.items()} == {1: False, 2: False, 6: True}
+    assert (got[6]["score"], got[6]["coverage"], got[6]["bm25"]) == (8.6, 1.0, 0.0)
+    # of the second query's hypotheses the better one counts; 4 and 5 have one of three terms
+    assert {r["doc_id"]: (r["score"], r["coverage"]) for r in found if r["query_id"] == 2} == {3: (3.0, 1.0), 6: (3.0, 1.0)}
+    queries = queries.where("query_id = 1")
     names = spark.createDataFrame([(1, "a.pdf", "/download/a.pdf"), (2, "canonical_runtime_x", "/x"), (6, None, None)], "doc_id long, name string, path string")
     named = {r["doc_id"]: r["score"] for r in H.hybrid_search(queries, index, names).collect()}
     assert set(named) == {1, 6} and named[1] == pytest.approx(got[1]["score"] + 0.35)
@@ -195,7 +198,7 @@ def test_cosine_join_equals_all_pairs(spark):
     for least in (0.82, 0.5):
         got = {(r["token"], r["word"]): r["similarity"] for r in V.similarity_join(named(asked, "token"), named(vocab, "word"), least).collect()}
         want = {(a, b): cosine(a, b) for a, b in itertools.product(asked, vocab) if cosine(a, b) >= least}
-        assert got == pytest.approx(want, abs=1e-6) and len(want) > 40
+        assert got == pytest.approx(want, abs=1e-6) and len(want) > 30
     assert V.similarity_join(named(asked, "token").limit(0), named(vocab, "word")).count() == 0
 
 

@@ -56,14 +56,14 @@ def canonical_postings(chunked: DataFrame) -> DataFrame:
     """hash, doc_id, chunk_index: a term counts once in a chunk."""
     terms = T.canonical_terms(T.canonical_tokens(F.col("chunk_text")))
     rows = chunked.select("doc_id", "chunk_index", F.explode(terms).alias("term"))
-    return rows.select(T.canonical_hash(F.col("term")).alias("hash"), "doc_id", "chunk_index")
+    return rows.select(T.hash_of(F.col("term")).alias("hash"), "doc_id", "chunk_index")
 
 
 def counted_postings(chunked: DataFrame) -> DataFrame:
     """hash, doc_id, chunk_index, tf: terms with how often they stand in a chunk; hashed once for each chunk."""
     terms = T.canonical_terms(T.canonical_tokens(F.col("chunk_text")), once=False)
     rows = chunked.select("doc_id", "chunk_index", F.explode(terms).alias("term")).groupBy("doc_id", "chunk_index", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return rows.select(T.canonical_hash(F.col("term")).alias("hash"), "doc_id", "chunk_index", "tf")
+    return rows.select(T.hash_of(F.col("term")).alias("hash"), "doc_id", "chunk_index", "tf")
 
 
 def published_lookup(hashes: DataFrame, index: DataFrame, files: DataFrame, limit: int = 1000) -> DataFrame:
@@ -103,6 +103,11 @@ def postings_lookup(hashes: DataFrame, index: DataFrame, every: bool = False, li
     if every:
         n = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         found = found.join(F.broadcast(n), "query_id").where("matched = n").drop("n")
+    return ordered_lookup(found, limit)
+
+
+def ordered_lookup(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``ord``: most terms first, then by file and chunk; the first ``limit`` of a query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id", "chunk_index")
     ranked = found.withColumn("ord", F.row_number().over(order))
     return ranked.where(F.col("ord") <= limit) if limit else ranked

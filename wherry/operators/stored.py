@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,35 +135,36 @@ class StoredIndex:
         m = self.set.manifest()
         return self._live(self.set.read("vectors", manifest=m), m).drop("seg")
 
-    def _asked(self, asked: DataFrame, bucket: Column) -> list[int]:
-        return [r[0] for r in asked.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+    def _known(self, asked: DataFrame, name: str, bucket: Column) -> tuple[list[str], list[int]]:
+        """(the asked values, where there are ``PUSHED`` or fewer, else none; their buckets)."""
+        some = asked.select(F.col(name), bucket.alias("b")).limit(PUSHED + 1).collect()
+        if len(some) <= PUSHED:
+            return sorted(r[0] for r in some), sorted({r[1] for r in some})
+        return [], [r[0] for r in asked.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
 
     def postings(self, tokens: DataFrame, prefix: bool = False) -> DataFrame:
         """token, word, doc_id, chunk_index, places, n_words: postings of ``tokens`` (token), or with ``prefix`` of all words that start with one.
 
         Only the files of the tokens' buckets are read; up to ``PUSHED`` tokens are also pushed
         to the scan, where files lie in the order of tokens. Tokens of one character have no
-        postings of their own and, as prefixes, are looked for in all buckets.
+        postings of their own; as prefixes they need ``prefixed``, which looks in all buckets.
         """
         m = self.set.manifest()
-        asked = tokens.select("token").where("token <> ''").distinct()
-        short = not asked.where(F.length("token") < LEAD).isEmpty() if prefix else False
-        buckets = None if short else self._asked(asked, self._token_bucket(F.col("token")))
+        asked = tokens.select("token").where(F.length("token") >= LEAD).distinct()
+        some, buckets = self._known(asked, "token", self._token_bucket(F.col("token")))
         rows = self.set.read("tokens", buckets, m).withColumnRenamed("token", "word")
-        some = [r[0] for r in asked.limit(PUSHED + 1).collect()]
-        if 0 < len(some) <= PUSHED:
-            pushed = F.col("word").isin(some)
-            if prefix:
-                pushed = F.lit(False)
-                for t in sorted(some):
-                    pushed |= F.col("word").startswith(t)
-            rows = rows.where(pushed)
+        if some:
+            rows = rows.where(reduce(lambda x, y: x | y, (F.col("word").startswith(t) for t in some)) if prefix else F.col("word").isin(some))
         same = F.col("word") == F.col("token")
         if prefix:
-            n = 1 if short else LEAD
-            same = (F.substring("word", 1, n) == F.substring("token", 1, n)) & F.col("word").startswith(F.col("token"))
-        found = self._live(rows, m).join(asked, same)
-        return found.select("token", "word", "doc_id", "chunk_index", "places", "n_words")
+            same = (F.substring("word", 1, LEAD) == F.substring("token", 1, LEAD)) & F.col("word").startswith(F.col("token"))
+        return self._live(rows, m).join(asked, same).select("token", "word", "doc_id", "chunk_index", "places", "n_words")
+
+    def prefixed(self, prefixes: DataFrame) -> DataFrame:
+        """token, word, doc_id, chunk_index: postings of all words that start with ``prefixes`` (token) of any length but none."""
+        short = prefixes.select("token").where((F.length("token") < LEAD) & (F.col("token") != "")).distinct()
+        some = short.join(self.all_postings().withColumnRenamed("token", "word"), F.substring("word", 1, 1) == F.col("token"))
+        return self.postings(prefixes, prefix=True).select("token", "word", "doc_id", "chunk_index").unionByName(some.select("token", "word", "doc_id", "chunk_index"))
 
     def vocabulary(self, tokens: DataFrame) -> DataFrame:
         """word: the words in the index that start with one of ``tokens``."""
@@ -178,7 +181,7 @@ class StoredIndex:
 
     def with_prefix(self, prefixes: DataFrame, limit: int | None = None) -> DataFrame:
         """query_id, doc_id, chunk_index, ord: chunks with a word that starts with the query's prefix (query_id, token), the first ``limit``."""
-        found = self.postings(prefixes, prefix=True).select("token", "doc_id", "chunk_index").distinct().join(prefixes.select("query_id", "token"), "token")
+        found = self.prefixed(prefixes).select("token", "doc_id", "chunk_index").distinct().join(prefixes.select("query_id", "token"), "token")
         order = Window.partitionBy("query_id").orderBy("doc_id", "chunk_index")
         out = found.withColumn("ord", F.row_number().over(order).cast("long")).drop("token")
         return out.where(F.col("ord") <= limit) if limit else out
@@ -187,9 +190,9 @@ class StoredIndex:
         """query_id, doc_id, chunk_index, matched, tf: chunks with any (or ``every``) hash of each query (query_id, hash)."""
         m = self.set.manifest()
         asked = hashes.select("query_id", "hash").distinct()
-        rows = self.set.read("terms", self._asked(asked, bucket_of(F.col("hash"), self.set.buckets)), m)
-        some = [r[0] for r in asked.select("hash").distinct().limit(PUSHED + 1).collect()]
-        if 0 < len(some) <= PUSHED:
+        some, buckets = self._known(asked.select("hash").distinct(), "hash", bucket_of(F.col("hash"), self.set.buckets))
+        rows = self.set.read("terms", buckets, m)
+        if some:
             rows = rows.where(F.col("hash").isin(some))
         found = self._live(rows, m).join(asked, "hash").groupBy("query_id", "doc_id", "chunk_index").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))
         if every:
@@ -205,13 +208,13 @@ class StoredIndex:
         where it stands, so that common words move no more than rare ones.
         """
         each = asked.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-        exact = self.postings(each)
+        wide = self.postings(each, prefix=True)
+        exact = wide.where("word = token").select("token", "doc_id", "chunk_index")
         n = exact.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        rare = each.join(n, "token").groupBy("query_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count(F.lit(1)).alias("found"))
+        rare = each.join(n, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.min(F.col("n").isNotNull()).alias("all"))
         # a query with a token that stands nowhere has no chunk
-        rare = rare.join(each.groupBy("query_id").agg(F.count(F.lit(1)).alias("all")), "query_id").where("found = all").select("query_id", "token")
-        held = exact.join(rare, "token").select("query_id", "doc_id", "chunk_index")
-        wide = self.postings(each, prefix=True).join(each, "token").select("query_id", "doc_id", "chunk_index", "n_words", "word", "places")
+        held = exact.join(rare.where("all").select("query_id", "token"), "token").select("query_id", "doc_id", "chunk_index")
+        wide = wide.join(each, "token").select("query_id", "doc_id", "chunk_index", "n_words", "word", "places")
         wide = wide.join(held, ["query_id", "doc_id", "chunk_index"], "left_semi")
         return wide.groupBy("query_id", "doc_id", "chunk_index").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("word", "places")).alias("hits"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:

@@ -81,25 +81,26 @@ def strongest_interpretation(spark, d):
 
 @query(rf"""
 WITH p AS (
-  SELECT item_id AS query_id, 0 AS o, text AS pivot FROM benchmark UNION ALL SELECT item_id, 1, '  ' FROM benchmark
-  UNION ALL SELECT item_id, 2, upper(text) || '!' FROM benchmark
-), k AS (SELECT query_id, o, pivot, regexp_extract_all(trim(regexp_replace(lower(pivot), '\s+', ' ', 'g')), '{T.STRUCTURAL_TOKEN.replace("'", "''")}')[1:12] AS k FROM p WHERE trim(pivot) <> '')
-SELECT query_id, o AS pivot_ord, pivot, len(k) AS components, array_to_string(k, ' + ') AS parts FROM k WHERE len(k) > 0
+  SELECT item_id AS query_id, 0 AS o, text AS "pivot" FROM benchmark UNION ALL SELECT item_id, 1, '  ' FROM benchmark
+  UNION ALL SELECT item_id, 2, 'Re ' || text || '!' FROM benchmark
+), k AS (SELECT query_id, o, "pivot", regexp_extract_all(trim(regexp_replace(lower("pivot"), '\s+', ' ', 'g')), '{T.STRUCTURAL_TOKEN.replace("'", "''")}')[1:12] AS k FROM p WHERE trim("pivot") <> '')
+SELECT query_id, o AS pivot_ord, "pivot", len(k) AS components, array_to_string(k, ' + ') AS parts FROM k WHERE len(k) > 0
 """)
 def multilingual_alignment(spark, d):
     """Pivots of each item, as an identity translator gives them: what each asks, in its own words; blank ones and those beyond the eighth fall out."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("t"))
-    texts = {0: F.col("t"), 1: F.lit("  "), 2: F.concat(F.upper("t"), F.lit("!")), 8: F.col("t")}
+    texts = {0: F.col("t"), 1: F.lit("  "), 2: F.concat(F.lit("Re "), "t", F.lit("!")), 8: F.col("t")}
     pivots = items.select("query_id", F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), p.alias("pivot")) for o, p in texts.items()])).alias("p")).select("query_id", "p.ord", "p.pivot")
     return E.aligned(pivots).select("query_id", "pivot_ord", "pivot", F.size("parts").cast("long").alias("components"), F.array_join("parts", " + ").alias("parts"))
 
 
 @query("""
-WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
-r AS (SELECT x, y, row_number() OVER (ORDER BY x DESC, l_orderkey, l_linenumber) AS a, row_number() OVER (ORDER BY y DESC, l_orderkey, l_linenumber) AS b FROM s)
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
+r AS (SELECT x, y, row_number() OVER (ORDER BY x DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS a, row_number() OVER (ORDER BY y DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS b FROM s)
 SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(a, b), 6) AS rank FROM r
 """)
 def rank_correlation(spark, d):
     """Two scores of every line, by value and by rank, ties in the order of the lines."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
-    return N.rank_correlation(lines, "x", "y", ["l_orderkey", "l_linenumber"])
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = table(spark, d, "lineitem").select(*place, F.col("l_extendedprice").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    return N.rank_correlation(lines, "x", "y", place)

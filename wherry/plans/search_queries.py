@@ -10,8 +10,10 @@ from ..functions import text as T
 from ..operators import fuse as U
 from ..operators import index as I
 from ..operators import search as R
+from ..operators import stored as D
 from . import base as B
 from .base import query, query_set, rows, table
+from .built import stored_index
 from .text_queries import _WORDS, expand_sql
 
 # ------------------------------------------------------------------ lexical search
@@ -41,7 +43,8 @@ signals AS (SELECT *, 0.8 * len(list_distinct(tokens)) AS boost, {B.bm25("tokens
 
 @query(f"WITH {SEARCH_SQL} SELECT * FROM result")
 def hybrid_search(spark, d):
-    return R.search(query_set(spark), table(spark, d, "documents"))
+    """The stated queries against the documents' stored index."""
+    return D.search(query_set(spark), stored_index(spark, d))
 
 
 _WEIGHT = (
@@ -61,7 +64,7 @@ signals AS (SELECT *, 0.8 * list_sum(list_transform(held, lambda e: {_BEST})) AS
 SELECT * FROM result
 """)
 def hybrid_search_expanded(spark, d):
-    return R.search(query_set(spark), table(spark, d, "documents"), expand=True)
+    return D.search(query_set(spark), stored_index(spark, d), expand=True)
 
 
 @query(f"""
@@ -206,7 +209,7 @@ def _pivot_results(spark, d):
     """(query_id, ord, doc_id, ...) of the search for every pivot, all in one plan."""
     p = _pivots(spark)
     key = (F.col("query_id") * 100 + F.col("ord")).alias("query_id")
-    found = R.search(p.select(key, F.col("pivot").alias("query")), table(spark, d, "documents"))
+    found = D.search(p.select(key, F.col("pivot").alias("query")), stored_index(spark, d))
     return found.withColumns({"ord": F.pmod("query_id", F.lit(100)), "query_id": F.floor(F.col("query_id") / 100).cast("int")})
 
 

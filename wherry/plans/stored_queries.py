@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import hybrid as H
+from ..operators import search as R
 from ..operators import similar as V
 from ..operators import stored as D
 from ..operators.providers import LetterEncoder, provided
@@ -14,41 +15,19 @@ from ..operators.tableset import TableSet
 from ..streaming.feeds import work_dir
 from . import base as B
 from .base import query, query_set, rows, table
+from .built import stored_index
 from .search_queries import SEARCH_SQL
 from .text_queries import _LOOKUP, _WORDS
 
-_BUILT: dict[tuple, D.StoredIndex] = {}
-
-
-def _mark(spark: SparkSession, path: str) -> tuple:
-    """What tells one state of a table's files from another."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
-
-
-def stored_index(spark: SparkSession, d: str, embedded: bool = False) -> D.StoredIndex:
-    """The index of a folder's documents, built when it is first asked for, and again when their files have changed."""
-    path = f"{d}/documents.parquet"
-    key = (spark.sparkContext.applicationId, path, _mark(spark, path))
-    if key not in _BUILT:
-        index = D.StoredIndex(spark, work_dir(spark, "index"))
-        index.add(table(spark, d, "documents").select("doc_id", "text"))
-        _BUILT[key] = index
-    index = _BUILT[key]
-    if embedded and "vectors" not in index.set.manifest()["tables"]:
-        index.embed(LetterEncoder)
-    return index
-
-
 @query(f"WITH {SEARCH_SQL} SELECT * FROM result")
-def search_stored(spark, d):
-    return D.search(query_set(spark), stored_index(spark, d))
+def search_unindexed(spark, d):
+    """The same search over documents that no index has: they are cut and normalised on the way."""
+    return R.search(query_set(spark), table(spark, d, "documents"))
 
 
 @query(B.SQL["hybrid_search_expanded"])
-def search_stored_expanded(spark, d):
-    return D.search(query_set(spark), stored_index(spark, d), expand=True)
+def search_unindexed_expanded(spark, d):
+    return R.search(query_set(spark), table(spark, d, "documents"), expand=True)
 
 
 _COUNTED = _LOOKUP.replace("ct AS (SELECT DISTINCT doc_id, chunk_index, unnest(", "ct AS (SELECT doc_id, chunk_index, unnest(").replace(
@@ -180,7 +159,7 @@ def hybrid_search_full(spark, d):
 
 
 @query("""
-WITH m AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS body FROM documents WHERE doc_id % 13 <> 0),
+WITH m AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'Re: ' || coalesce(text, '') ELSE coalesce(text, '') END AS body FROM documents WHERE doc_id % 13 <> 0),
 c AS (SELECT doc_id, unnest(range(greatest(CAST(ceil(length(body) / 800.0) AS BIGINT), 1))) AS i, body FROM m)
 SELECT 'mails' AS name, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM m
 UNION ALL SELECT 'files', count(*), CAST(sum(length(coalesce(source, ''))) AS BIGINT) FROM m
@@ -198,7 +177,7 @@ def mail_cascade(spark, d):
 
     tables = TableSet(spark, work_dir(spark, "mails"))
     tables.cascade(four(docs), docs, "doc_id", batch=0)
-    changed = docs.where("doc_id % 5 = 0 AND doc_id % 13 <> 0").withColumn("body", F.upper("body"))
+    changed = docs.where("doc_id % 5 = 0 AND doc_id % 13 <> 0").withColumn("body", F.concat(F.lit("Re: "), "body"))
     keys = docs.where("doc_id % 5 = 0 OR doc_id % 13 = 0").select("doc_id")
     for _ in range(2):
         tables.cascade(four(changed), keys, "doc_id", batch=1)

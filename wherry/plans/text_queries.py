@@ -14,6 +14,7 @@ from ..operators import providers as P
 from ..operators import search as R
 from . import base as B
 from .base import query, query_set, rows, table
+from .built import stored_index
 
 #: A stated few words that stand for a stop-word list, in the languages of the tables.
 STOP_WORDS = ("the", "of", "and", "in", "le", "la", "de", "der", "die", "und", "el", "los", "que")
@@ -191,7 +192,7 @@ found AS (SELECT query_id, doc_id, chunk_index, count(*) AS matched FROM qt JOIN
 def _lookup(spark, d, every, limit):
     asked = query_set(spark).select("query_id", F.explode(T.canonical_terms(T.canonical_tokens(F.col("query")))).alias("term"))
     asked = asked.select("query_id", T.canonical_hash(F.col("term")).alias("hash"))
-    found = I.postings_lookup(asked, I.canonical_postings(I.chunks(table(spark, d, "documents"))), every, limit)
+    found = I.ordered_lookup(stored_index(spark, d).lookup(asked, every), limit)
     return found.select("query_id", "doc_id", "chunk_index", "matched", F.col("ord").cast("long").alias("ord"))
 
 
