@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.llm import decontaminate, line_dedup, ngram_join, sentencepiece_codec, toxicity
-from wherry.llm.shared import dropped, left, swept, written
+from wherry.llm.shared import dropped, free_name, left, swept, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,17 +45,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = joined.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("first"))
     both = joined.join(first, "class_key").withColumn("stays", F.col("text_hash").eqNullSafe(F.col("first.text_hash")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     # (written, so that their number is known)
-    others, others_path = written(both.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "others")
+    names = [free_name(docs, n) for n in ("id", "text_hash")]
+    others, others_path = written(both.where("NOT stays").select("doc_id", "text_hash").distinct().toDF(*names), "others")
     again = both.where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again, again_path = written(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")), "repeated")
+    again, again_path = written(again.select("doc_id", "text_hash").toDF(*names), "repeated")
     dropped(spark, path)
     left(others_path, again_path)
-    same = (F.xxhash64("text") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    same = (F.xxhash64("text") == F.col(names[1])) & F.col("doc_id").eqNullSafe(F.col(names[0]))
     kept = docs.join(others.hint("shuffle_hash"), same, "left_anti")  # the same plan at every size; texts need no sort
     if again.isEmpty():
         return kept
     # rows that repeat id and text are rare: only they are brought together
-    one = kept.join(again, same, "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    one = kept.join(again, same, "left_semi").withColumn(names[1], F.xxhash64("text")).dropDuplicates(["doc_id", names[1]]).drop(names[1])
     return kept.join(again, same, "left_anti").unionByName(one)
 
 

@@ -62,9 +62,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows, path = written(recipes(docs, id_col, text_col), "recipes")
     short = verified(rows)
     slim = rows.select("doc_id", "points", "text_sha256", F.transform("chunks", lambda c: c["h"] if short else c["s"]).alias("recipe"))
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("neg")))
-    groups = slim.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("recipe", (-F.col("best.neg")).alias("keep_id"), "group_size")
+    # the most points, then the smallest id, nulls last
+    best = F.min_by("doc_id", F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("keep_id")
+    groups = slim.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
     # written: both sides of the join are then plain shuffles, which Spark can split at a hot recipe
     groups, groups_path = written(groups, "recipe-groups")
     left(path, groups_path)

@@ -19,7 +19,7 @@ TREES = 24
 DEPTH = 10
 #: Chance with which a pair exactly at the threshold shares a matched prefix.
 TARGET_RECALL = 0.98
-#: Sets under one whole label from which its node is crowded and its prefix is not shortened.
+#: Sets under one whole label of which a task holds back no more: the others are linked to the first as they come, and only the first goes up. Changes no component.
 CROWD = 64
 #: 64-bit words of the bitmap by which texts are told that need no comparison: the broadcast's bound.
 FILTER_WORDS = 1 << 18
@@ -93,10 +93,11 @@ def signatures(docs: DataFrame, trees: int, depth: int, width: int) -> DataFrame
 class NodeRuns:
     """Star edges of one task's rows of the forest, which come sorted by (tree, label).
 
-    In every node the matched prefix starts at the whole label. Where at least ``crowd`` sets
-    share it they are linked there and go no further up; the others are sparse, and their prefix
-    is shortened to ``prefix`` values. A run of equal labels is held back until it ends or is a
-    crowd, so at most ``crowd`` rows wait. ``ends`` are the nodes that may go on in other tasks.
+    In every node the matched prefix starts at the whole label and is shortened to ``prefix``
+    values. Where at least ``crowd`` sets share a whole label they are linked there, and the
+    first of them stands for all on the way up; the others go up by themselves. A run of equal
+    labels is held back until it ends or is a crowd, so at most ``crowd`` rows wait. ``ends``
+    are the nodes that may go on in other tasks.
     """
 
     def __init__(self, prefix: int, crowd: int) -> None:
@@ -104,7 +105,7 @@ class NodeRuns:
         self.keys: np.ndarray | None = None  # rows that wait
         self.nodes = np.empty(0, dtype=np.int64)
         self.crowded: tuple[bytes, int] | None = None  # the crowd that may go on, and its first set
-        self.sparse: tuple[bytes, int] | None = None  # likewise the latest sparse node
+        self.sparse: tuple[bytes, int] | None = None  # likewise the latest node of the shortened prefix
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self.ends: dict[bytes, int] = {}
         self.first_sparse = True
@@ -143,7 +144,9 @@ class NodeRuns:
         crowded = np.repeat(size >= self.crowd, size)
         lead = np.repeat(nodes[start], size)
         self.edges.append((lead[crowded], nodes[crowded]))
-        self._shortened(keys[~crowded, : self.cut], nodes[~crowded], last)
+        up = ~crowded
+        up[start] = True
+        self._shortened(keys[up, : self.cut], nodes[up], last)
 
     def _shortened(self, keys: np.ndarray, nodes: np.ndarray, last: bool) -> None:
         if len(nodes):
@@ -328,9 +331,8 @@ def ngram_join(
     other documents that are linked or equal. class_key names a class whatever the ids are.
 
     Sets that share a label prefix in any tree of the forest are compared. The prefix starts as
-    the whole label; in nodes with fewer than ``crowd`` sets it is shortened until a pair at the
-    threshold has ``target_recall``, in crowded nodes it stays (recall there: ``prefix_recall``
-    of the depth). Every pair within a component of such candidates is verified, in blocks, so
+    the whole label and is shortened until a pair at the threshold has ``target_recall``, in
+    every node alike, however many sets are in it. Every pair within a component of such candidates is verified, in blocks, so
     groups of any size are complete.
 
     A text under ``width`` words is one shingle. Texts without words (null, empty) are linked
@@ -372,7 +374,7 @@ def ngram_join(
     # a bitmap of fixed size lets few other texts through, so about as much moves as is needed; the hint keeps the plan alike at every size
     held = rows.withColumn("row", F.xxhash64("doc_id", "text_hash")).withColumn("place", F.expr(PLACE)).join(F.broadcast(bitmap(keyed)), "place").where(HOLDS)
     members = held.drop("place", "bits").join(keyed.hint("merge"), "row")
-    members = shingled(members.where("text_hash = of_text AND doc_id <=> of_id").dropDuplicates(["row"]), width)
+    members = shingled(members.where("text_hash = of_text AND doc_id <=> of_id").dropDuplicates(["node"]), width)
     members = members.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "copies", "hashes")

@@ -78,6 +78,8 @@ class Model:
                 self.kind = f.get(3, UNIGRAM)
                 self.byte_fallback = bool(f.get(35, 0))
                 self.unk_surface = f[44].decode() if 44 in f else self.unk_surface
+                if f.get(24, 0):
+                    raise ValueError("models that mark spaces after words are not supported")
             elif number == 3:
                 f = dict(protobuf_fields(value))
                 self.charsmap = f.get(2, b"")
