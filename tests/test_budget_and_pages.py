@@ -98,3 +98,19 @@ def test_capabilities(spark):
     assert got == {"a": "FULL", "b": "FULL", "c": "FULL", "x": "FULL", "y": "FULL", "d": "BLOCKED", "gone": "BLOCKED", "alone": "FULL"}
     files = spark.createDataFrame([(1, "a", "PACKAGE_MISSING"), (2, "d", "PACKAGE_MISSING"), (3, "a", "DONE"), (4, None, "PACKAGE_MISSING")], "id long, capability string, state string")
     assert [r["id"] for r in Y.released(files, Y.capabilities(needs, present)).collect()] == [1]
+
+
+def test_merging_rewrites_the_buckets_of_a_batch(spark, tmp_path):
+    from wherry.operators.tableset import TableSet
+    from wherry.streaming import feeds as X
+
+    tables = TableSet(spark, str(tmp_path), buckets=8)
+    apply = X.merging(tables, "t", "k", ["n"])
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, n long, v string")
+    apply(rows(*[(i, 1, "a") for i in range(30)], (None, 1, "a")), 0)
+    first = tables.manifest()["tables"]["t"]["files"]
+    for _ in range(2):
+        apply(rows((3, 2, "b"), (3, 3, "c"), (4, 0, "late"), (None, 2, "b"), (99, 1, "new")), 1)
+    got = {(r["k"], r["n"], r["v"]) for r in tables.read("t").collect()}
+    assert got == {(i, 1, "a") for i in range(30) if i != 3} | {(3, 3, "c"), (None, 2, "b"), (99, 1, "new")}
+    assert any(f == first.get(b) for b, f in tables.manifest()["tables"]["t"]["files"].items())

@@ -331,3 +331,61 @@ def test_settled_columns_are_computed_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("SQRT") == 1
     assert sorted(round(r["y"], 6) for r in rows.collect()) == [2.0, 3.0]
+
+
+# ------------------------------------------------------------------ WordPiece and binary assets
+
+
+def test_wordpiece_takes_the_longest_piece(spark):
+    from wherry.operators import wordpiece as W
+
+    vocab = {"un": 200, "##able": 201, "##a": 202, "##b": 203, "##ble": 204, "cat": 205, "c": 206, "##at": 207, "cats": 208, "x": 209}
+
+    def cut(word):
+        if len(word) > W.MAX_WORD:
+            return [W.UNKNOWN]
+        at, ids = 0, []
+        while at < len(word):
+            end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocab), None)
+            if end is None:
+                return [W.UNKNOWN]
+            ids.append(vocab[("##" if at else "") + word[at:end]])
+            at = end
+        return ids
+
+    words = ["unable", "cat", "cats", "catsa", "caat", "unab", "unabx", "z", "x" * 101, "cat"]
+    pieces = spark.createDataFrame(list(vocab.items()), "piece string, id int")
+    got = {r["word"]: r["ids"] for r in W.segmented(spark.createDataFrame([(w,) for w in [*words, "", None]], "word string"), pieces).collect()}
+    assert got == {w: cut(w) for w in words}
+    docs = spark.createDataFrame([(1, "  Cát, UNABLE! "), (2, None), (3, ""), (4, "cats z " * 300)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in W.encoded(docs, pieces).collect()}
+    assert out[1]["input_ids"][:6] == [101, 205, 200, 201, 102, 0] and out[1]["n_ids"] == 5
+    assert out[2]["input_ids"] == out[3]["input_ids"] == [101, 102] + [0] * 126
+    assert out[4]["input_ids"] == [101] + [208, 100] * 63 + [102] and all(len(r["input_ids"]) == 128 for r in out.values())
+    assert W.encoded(docs, pieces.limit(0)).where("doc_id = 1").first()["input_ids"][:4] == [101, 100, 100, 102]
+
+
+def test_concept_assets(spark, tmp_path):
+    import struct
+
+    from wherry.sources import concepts as C
+
+    def record(name, english, kind, values):
+        texts = b"".join(struct.pack("<H", len(t.encode())) + t.encode() for t in (name, english))
+        return texts + bytes([kind]) + struct.pack("<i", len(values)) + struct.pack(f"<{len(values)}f", *values)
+
+    good = struct.pack("<ii", 2, 2) + record("a", "ä", 0, [1.0, -0.5]) + record("b", "", 4, [])
+    files = {"good": good, "short": good[:-3], "long": good + b"x", "type": struct.pack("<ii", 2, 1) + record("a", "b", 5, []), "huge": struct.pack("<ii", 2, 1) + b"\0\0\0\0\0" + struct.pack("<i", -1)}
+    for n, data in files.items():
+        (tmp_path / n).write_bytes(data)
+    got = {}
+    for r in C.read_concepts(spark, str(tmp_path)).orderBy("place").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["place"], r["concept_id"], r["english"], r["type"], r["embedding"], r["error"]))
+    first, second = (0, "a", "ä", "OBJECT", [1.0, -0.5], None), (1, "b", "", "PERSON", [], None)
+    assert got["good"] == [first, second]
+    assert got["short"] == [first, (1, None, None, None, None, "record 1 is cut off")]
+    assert got["long"] == [first, second, (2, None, None, None, None, "1 bytes after the last record")]
+    assert got["type"] == [(0, None, None, None, None, "record 0 has type 5")]
+    blank = C.concepts(spark.createDataFrame([("a", b""), ("b", None)], "path string, content binary")).collect()
+    assert [(r["path"], r["error"]) for r in blank] == [("a", "record 0 is cut off"), ("b", "record 0 is cut off")]
+    assert got["huge"][0][-1] == "record 0 has -1 components"

@@ -249,6 +249,10 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./\\]+)$", 1))
 
 
+#: Folders that say nothing about where a file comes from.
+PLAIN_FOLDERS = ("storage", "emulated", "primary", "media", "data", "files")
+
+
 def source_label(path: Column, kind: Column) -> Column:
     """Where a file comes from, by its kind and path."""
     path = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
@@ -258,7 +262,7 @@ def source_label(path: Column, kind: Column) -> Column:
     seen = lambda x: F.when(x.contains("SCREENSHOT"), "SCREENSHOTS").when(x.contains("WHATSAPP"), "WHATSAPP").when(x.contains("TIKTOK"), "TIKTOK")
     known = lambda x: F.when(x == "DCIM", "DCIM").when(x.isin("DOWNLOAD", "DOWNLOADS"), "DOWNLOADS").when(x.isin("DOCUMENT", "DOCUMENTS"), "DOCUMENTS")
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), 0)
-    plain = F.get(F.filter(folders, lambda x: (x != "") & ~x.rlike(r"^\p{Nd}+$") & ~F.lower(x).isin("storage", "emulated", "primary", "media", "data", "files")), 0)
+    plain = F.get(F.filter(folders, lambda x: (x != "") & ~x.rlike(r"^\p{Nd}+$") & ~F.lower(x).isin(*PLAIN_FOLDERS)), 0)
     rest = F.when(F.trim(F.coalesce(kind, F.lit(""))) == "", "DOCUMENT").otherwise(clean(kind))
     return (
         F.when(F.upper(kind) == "EMAIL", "EMAIL")
@@ -267,6 +271,7 @@ def source_label(path: Column, kind: Column) -> Column:
     )
 
 
+#: Extensions of images.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "heic", "heif")
 
 
@@ -288,6 +293,9 @@ def category(kind: Column, name: Column) -> Column:
 GENERATED_FOLDERS = ("build", "dist", "target", "out", "cache", "tmp", "temp", "generated", "node_modules", "__pycache__")
 SAMPLE_CHARS = 24 * 1024
 LARGE_CHARS = 512 * 1024
+#: Phrases by which a generator names itself; the last two only together.
+DECLARED = ("automatically generated", "auto-generated", "machine generated", "generated file")
+DECLARED_BOTH = ("generated by", "do not edit")
 
 
 def policy_signals(path: Column, text: Column) -> dict[str, Column]:
@@ -299,7 +307,7 @@ def policy_signals(path: Column, text: Column) -> dict[str, Column]:
     sample = F.lower(F.concat(F.substring(text, 1, SAMPLE_CHARS), middle, tail))
     size = F.length(sample)
     has = lambda *xs: sample.rlike("|".join(xs))
-    declared = has("automatically generated", "auto-generated", "machine generated", "generated file") | (has("generated by") & has("do not edit"))
+    declared = has(*DECLARED) | (has(DECLARED_BOTH[0]) & has(DECLARED_BOTH[1]))
     angles = F.regexp_count(sample, F.lit("[<>]"))
     markup = (size >= 1000) & (F.regexp_count(sample, F.lit("</")) >= 20) & (F.floor(angles * 100 / size) >= 3)
     tokens = F.filter(F.split(sample, r"\s+"), lambda t: F.length(t) >= 3)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..streaming.feeds import work_dir
 
 MAX_PHRASE = 3
 MAX_INTERPRETATIONS = 8
@@ -91,7 +92,8 @@ def expand(starts: DataFrame, relations: DataFrame, depth: int = 1, limit: int =
     """start, node, depth: nodes within ``depth`` steps, each once at its least depth, at most ``limit``.
 
     ``relations`` has src, dst, kind. Nodes of one depth are taken in the order of their ids.
-    Every level is one join of the frontier with the relations; what was seen is left out.
+    Every level is one join of the frontier with the relations; what was seen is left out. A
+    level is written, so the next one does not compute it again and a lost executor costs one.
     """
     edges = relations.where(F.col("kind").isin(*kinds)) if kinds else relations
     edges = edges.select("src", "dst").distinct()
@@ -100,6 +102,10 @@ def expand(starts: DataFrame, relations: DataFrame, depth: int = 1, limit: int =
     for d in range(1, depth + 1):
         new = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
         frontier = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        if d < depth:
+            path = work_dir(starts.sparkSession, "frontier")
+            frontier.write.parquet(path)
+            frontier = starts.sparkSession.read.schema(frontier.schema).parquet(path)
         seen = seen.unionByName(frontier)
     order = Window.partitionBy("start").orderBy("depth", "node")
     found = seen.where("depth > 0").withColumn("ord", F.row_number().over(order).cast("long"))

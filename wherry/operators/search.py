@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,15 +149,15 @@ def snippets(docs: DataFrame, asked: DataFrame, id_col: str = "doc_id", text_col
 # ------------------------------------------------------------------ vectors
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id, score: cosine of every query vector with every vector, one scan for all queries.
+def vector_scores(queries: DataFrame, vectors: DataFrame, of_query: Sequence[str] = (), of_vector: Sequence[str] = ()) -> DataFrame:
+    """query_id, vec_id, score: cosine of every query vector with every vector, one scan for all queries; with further columns of either.
 
     The queries are a stated set in broadcast form; norms are taken once per vector.
     """
-    q = queries.select("query_id", F.col("embedding").alias("qv"), S.norm(F.col("embedding")).alias("qn"))
-    v = vectors.select("vec_id", "embedding", S.norm(F.col("embedding")).alias("vn"))
+    q = queries.select("query_id", F.col("embedding").alias("qv"), S.norm(F.col("embedding")).alias("qn"), *of_query)
+    v = vectors.select("vec_id", "embedding", S.norm(F.col("embedding")).alias("vn"), *of_vector)
     pairs = v.crossJoin(F.broadcast(q))
-    return pairs.select("query_id", "vec_id", F.round(S.cosine(F.col("qv"), F.col("embedding"), F.col("qn"), F.col("vn")), 6).alias("score"))
+    return pairs.select("query_id", "vec_id", *of_query, *of_vector, F.round(S.cosine(F.col("qv"), F.col("embedding"), F.col("qn"), F.col("vn")), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

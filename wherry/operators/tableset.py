@@ -92,8 +92,8 @@ class TableSet:
 
     def replaced(self, base: dict, name: str, key: str, rows: DataFrame, keys: DataFrame, version: int) -> dict:
         """A table's entry in which all rows of ``keys`` are gone and ``rows`` have come: only their buckets are rewritten."""
-        changed = keys.select(F.col(key).alias("__key")).distinct().withColumn("__bucket", bucket_of(F.col("__key"), self.buckets))
-        asked = [r[0] for r in changed.select("__bucket").distinct().collect()]  # at most as many as there are buckets
+        changed = keys.select(F.col(key).alias("__key")).distinct()
+        asked = self.asked(keys, key)
         new = rows.withColumn("bucket", bucket_of(F.col(key), self.buckets))
         if name in base["tables"]:
             old = self.read(name, asked, base).join(changed.select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
@@ -102,6 +102,10 @@ class TableSet:
         old_files = base["tables"].get(name, {"files": {}})["files"]
         return made | {"files": {b: f for b, f in old_files.items() if int(b) not in asked} | made["files"]}
 
+    def asked(self, keys: DataFrame, key: str) -> list[int]:
+        """The buckets of some keys: at most as many as there are buckets."""
+        return [r[0] for r in keys.select(bucket_of(F.col(key), self.buckets).alias("b")).distinct().collect()]
+
     def cascade(self, changes: dict[str, DataFrame], keys: DataFrame, key: str, batch: int) -> int:
         """Replace the rows of ``keys`` in several tables by one version: their new rows come, those without new rows are deleted.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, evaluation_queries, graph_queries, search_queries, store_queries, stored_queries, stream_queries, text_queries  # noqa: F401
+from . import asset_queries, base, evaluation_queries, graph_queries, search_queries, store_queries, stored_queries, stream_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:

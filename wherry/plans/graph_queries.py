@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from ..operators import explain as E
 from ..operators import graph as G
 from ..operators import search as R
+from ..operators import stored as D
 from . import base as B
 from .base import query, query_set, table
+from .built import stored_index
 from .search_queries import SEARCH_SQL, _CONF, _confidence
 
 # ------------------------------------------------------------------ graph of customers, suppliers and nations
@@ -104,7 +106,7 @@ WITH {SEARCH_SQL}
 SELECT query_id, doc_id, 'Rank ' || rank || ': ' || hits || CASE WHEN hits = 1 THEN ' passage' ELSE ' passages' END || ', best BM25 ' || printf('%.6f', bm25) AS line FROM result
 """)
 def explanation_text(spark, d):
-    return E.sentences(R.search(query_set(spark), table(spark, d, "documents")))
+    return E.sentences(D.search(query_set(spark), stored_index(spark, d)))
 
 
 @query(f"""
@@ -113,14 +115,14 @@ SELECT query_id, unnest(['documents', 'best_score', 'mean_score', 'passages']) A
   unnest([printf('%.6f', documents::DOUBLE), printf('%.6f', best), printf('%.6f', round(mean, 6)), printf('%.6f', passages::DOUBLE)]) AS value FROM m
 """)
 def technical_report(spark, d):
-    return E.report(R.search(query_set(spark), table(spark, d, "documents")))
+    return E.report(D.search(query_set(spark), stored_index(spark, d)))
 
 
 @query(f"""
 WITH {SEARCH_SQL} SELECT query_id, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank)) AS execution_id FROM result GROUP BY query_id
 """)
 def execution_id(spark, d):
-    return E.execution_ids(R.search(query_set(spark), table(spark, d, "documents")))
+    return E.execution_ids(D.search(query_set(spark), stored_index(spark, d)))
 
 
 # ------------------------------------------------------------------ metrics
@@ -142,8 +144,7 @@ def retrieval_metrics(spark, d):
     """Queries: every fiftieth vector, searched among all; relevant: the same label."""
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "embedding")
-    scored = R.vector_scores(q.select("query_id", "embedding"), v).where("vec_id <> query_id")
-    labelled = scored.join(v.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("query_id", "own")), "query_id")
+    labelled = R.vector_scores(q, v, ["own"], ["label"]).where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = labelled.withColumn("rank", F.row_number().over(w))
     first = ranked.groupBy("query_id", "own").agg(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))).alias("rank"))

@@ -139,10 +139,10 @@ scores AS (SELECT query_id, vec_id, {B.cosine("a", "embedding")} AS score FROM q
 _TOP = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {}"
 
 
-def _scores(spark, d):
+def _scores(spark, d, more=()):
     """Every fiftieth vector is a query, scored against every vector."""
     v = table(spark, d, "embeddings")
-    return R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v)
+    return R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v, of_vector=more)
 
 
 @query(f"WITH {_VECTORS} SELECT * FROM ({_TOP.format('scores')}) WHERE rank <= 10")
@@ -176,8 +176,7 @@ WITH {_VECTORS}, s AS (SELECT s.query_id, e.label, s.score, s.vec_id FROM scores
 SELECT query_id, arg_min(vec_id, (-score, vec_id)) AS vec_id, arg_min(label, (-score, vec_id)) AS label, max(score) AS score FROM s GROUP BY query_id
 """)
 def concept_nearest(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    s = _scores(spark, d).where("vec_id <> query_id").join(v, "vec_id")
+    s = _scores(spark, d, ["label"]).where("vec_id <> query_id")
     order = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
     return s.groupBy("query_id").agg(F.min_by("vec_id", order).alias("vec_id"), F.min_by("label", order).alias("label"), F.max("score").alias("score"))
 
@@ -233,9 +232,19 @@ def _fused(spark, d):
     return U.pivot_fusion(_pivot_results(spark, d), _pivots(spark))
 
 
-@query(f'WITH {_PIVOT_ROWS} SELECT query_id, "pivot", ord, mask FROM pivots')
+@query("""
+WITH raw AS (
+  SELECT conv_id AS query_id, text AS p, CAST(turn AS INTEGER) AS ord, 1 AS mask FROM conversations WHERE text IS NOT NULL
+  UNION ALL SELECT conv_id, '  ' || text || ' ', CAST(turn + 1000 AS INTEGER), CASE WHEN turn % 2 = 0 THEN 2 ELSE 4 END FROM conversations WHERE text IS NOT NULL
+), g AS (SELECT query_id, min(ord) AS ord, CAST(bit_or(mask) AS INTEGER) AS mask, lower(trim(p)) AS k FROM raw GROUP BY query_id, lower(trim(p)))
+SELECT g.query_id, min(p) AS "pivot", g.ord, g.mask FROM g JOIN raw ON raw.query_id = g.query_id AND raw.ord = g.ord AND lower(trim(p)) = k GROUP BY g.query_id, k, g.ord, g.mask
+""")
 def pivot_set(spark, d):
-    return _pivots(spark).select("query_id", "pivot", "ord", "mask")
+    """The turns of every conversation as its pivots, each a second time in a blank frame as an alias or a translation."""
+    turns = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("query_id"), "text", F.col("turn").cast("int").alias("ord"))
+    again = turns.select("query_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("pivot"), (F.col("ord") + 1000).alias("ord"), F.when(F.col("ord") % 2 == 0, U.ALIAS).otherwise(U.TRANSLATION).alias("mask"))
+    first = turns.select("query_id", F.col("text").alias("pivot"), "ord", F.lit(U.ORIGINAL).alias("mask"))
+    return U.pivots(first.unionByName(again)).select("query_id", "pivot", "ord", "mask")
 
 
 @query(f"WITH {_FUSED} SELECT query_id, doc_id, score, bm25, coverage, mask, support, round(support / pivots, 6) AS agreement FROM fused")

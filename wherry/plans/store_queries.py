@@ -84,15 +84,6 @@ def generation_publish(spark, d):
     return K.published(f, f.select("doc_id", (F.col("doc_id") % 5).alias("generation")))
 
 
-_CHANGES = "ch AS (SELECT event_id, user_id AS id, CASE event_type WHEN 'click' THEN 'added' WHEN 'view' THEN 'modified' ELSE 'deleted' END AS kind FROM events WHERE event_id % 50 = 0)"
-
-
-def _changes(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0")  # the change page is every fiftieth event
-    kind = F.when(F.col("event_type") == "click", "added").when(F.col("event_type") == "view", "modified").otherwise("deleted")
-    return e.select("event_id", F.col("user_id").alias("id"), kind.alias("kind"))
-
-
 @query("SELECT DISTINCT user_id AS id, CASE WHEN bool_or(event_type NOT IN ('click', 'view')) OVER (PARTITION BY user_id) THEN 'delete' ELSE 'upsert' END AS action FROM events")
 def change_sets(spark, d):
     kind = F.when(F.col("event_type") == "click", "added").when(F.col("event_type") == "view", "modified").otherwise("deleted")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.tableset import TableSet
 from ..sources.pages import MailPageStream
 from ..streaming import budget as Y
 from ..streaming import feeds as X
@@ -23,15 +24,15 @@ def stream_file_arrival(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_generation_upsert(spark, d):
-    """Batches of changes to a versioned table: the newest event of each user."""
+    """Batches of changes to a table in buckets, of which each batch rewrites those of its keys: the newest event of each user."""
     static = table(spark, d, "events").select("user_id", "event_id", "event_type")
     source, sink, mark = (X.work_dir(spark, n) for n in ("changes", "table", "mark"))
     static.repartition(3).write.parquet(source)
-    target = X.VersionedTable(spark, sink, "user_id long, event_id long, event_type string")
+    target = TableSet(spark, sink)
     stream = X.arrivals(spark, source, static.schema, files_per_batch=1)
-    work = stream.writeStream.foreachBatch(X.upserting(target, "user_id", ["event_id"])).option("checkpointLocation", mark)
+    work = stream.writeStream.foreachBatch(X.merging(target, "latest", "user_id", ["event_id"])).option("checkpointLocation", mark)
     work.trigger(availableNow=True).start().awaitTermination()
-    return target.read()
+    return target.read("latest").select("user_id", "event_id", "event_type")
 
 
 @query("""

@@ -252,7 +252,15 @@ def window_containment(spark, d):
     return _asked_words(spark, d).select("query_id", "doc_id", "chunk_index", S.in_window(F.col("tokens"), F.col("words")).alias("together"))
 
 
-_INTENTS = ((1, "invoice"), (2, "factura engie"), (3, "pisica alba"), (4, "white cat"), (5, "daniela"), (6, "house"), (7, "photo of invoice"), (8, "Flori și copii"))
+#: What is asked of each turn of the conversations, by the conversation: words of every kind of intent, and one with a lemma.
+_ASKED = ("", "invoice ", "photo of ", "pisica and masini ", "pdf photo ")
+_ASKED_SQL = "CASE conv_id % 5 " + " ".join(f"WHEN {i} THEN {B.lit(x)}" for i, x in enumerate(_ASKED)) + " END"
+
+
+def _turns(spark, d):
+    c = table(spark, d, "conversations")
+    words_ = F.element_at(F.array(*map(F.lit, _ASKED)), (F.pmod("conv_id", F.lit(len(_ASKED))) + 1).cast("int"))
+    return c.select(F.struct("conv_id", "turn").alias("query_id"), F.concat(words_, F.coalesce("text", F.lit(""))).alias("query"))
 
 
 def _has(words) -> str:
@@ -263,28 +271,27 @@ _LEMMA = " ".join(f"WHEN w = {B.lit(a)} THEN {B.lit(b)}" for a, b in T.LEMMAS.it
 
 
 @query(f"""
-WITH q(query_id, query) AS (VALUES {B.values(_INTENTS)}),
-n AS (SELECT query_id, array_to_string(list_transform(string_split({B.norm("query")}, ' '), lambda w: CASE {_LEMMA} ELSE w END), ' ') AS norm FROM q),
-a AS (SELECT query_id, norm, {B.tokens("norm")} AS tokens FROM n)
-SELECT query_id, norm, {_has(T.DOCUMENT_WORDS)} OR NOT ({_has(T.IMAGE_WORDS)} OR {_has(T.SUBJECT_WORDS)}) AS document_intent,
-  {_has(T.IMAGE_WORDS)} OR {_has(T.SUBJECT_WORDS)} OR NOT {_has(T.DOCUMENT_WORDS)} AS image_intent FROM a
+WITH q AS (SELECT conv_id, turn, {_ASKED_SQL} || coalesce(text, '') AS query FROM conversations),
+n AS (SELECT conv_id, turn, array_to_string(list_transform(string_split({B.norm("query")}, ' '), lambda w: CASE {_LEMMA} ELSE w END), ' ') AS norm FROM q),
+a AS (SELECT conv_id, turn, norm, {B.tokens("norm")} AS tokens FROM n)
+SELECT conv_id, turn, norm, {_has(T.DOCUMENT_WORDS)} OR NOT ({_has(T.IMAGE_WORDS)} OR {_has(T.SUBJECT_WORDS)}) AS document_intent,
+  {_has(T.IMAGE_WORDS)} OR {_has(T.SUBJECT_WORDS)} OR NOT {_has(T.DOCUMENT_WORDS)} AS image_intent FROM a WHERE len(tokens) > 0
 """)
 def query_intent(spark, d):
-    return R.understood(rows(spark, _INTENTS, "query_id int, query string")).select("query_id", "norm", "document_intent", "image_intent")
-
-
-_ALIASED = ((1, "invoice"), (2, "FACTURA"), (3, "  Invoice   APA "), (4, "factura apa"), (5, "invoices"), (6, "invoice and invoice"))
+    """What every turn of the conversations asks for."""
+    return R.understood(_turns(spark, d)).select("query_id.conv_id", "query_id.turn", "norm", "document_intent", "image_intent")
 
 
 @query(rf"""
-WITH q(query_id, query) AS (VALUES {B.values(_ALIASED)}),
-k AS (SELECT query_id, string_split(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), ' ') AS k FROM q),
-p AS (SELECT query_id, k, unnest(range(len(k))) AS i FROM k), o(f, t, n) AS (VALUES ('invoice', 'factura', 0), ('factura', 'invoice', 1)),
-r AS (SELECT query_id, n, i, array_to_string(list_concat(list_append(k[1:i], t), k[i + 2:]), ' ') AS expansion FROM p JOIN o ON k[i + 1] = f)
-SELECT query_id, expansion FROM r GROUP BY query_id, expansion
+WITH q AS (SELECT conv_id, turn, {_ASKED_SQL} || coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN '  FACTURA' ELSE '' END AS query FROM conversations),
+k AS (SELECT conv_id, turn, string_split(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), ' ') AS k FROM q),
+p AS (SELECT conv_id, turn, k, unnest(range(len(k))) AS i FROM k), o(f, t) AS (VALUES ('invoice', 'factura'), ('factura', 'invoice'))
+SELECT conv_id, turn, array_to_string(list_concat(list_append(k[1:i], t), k[i + 2:]), ' ') AS expansion FROM p JOIN o ON k[i + 1] = f GROUP BY ALL
 """)
 def alias_expansion(spark, d):
-    return rows(spark, _ALIASED, "query_id int, query string").select("query_id", F.explode(T.alias_expansions(F.col("query"))).alias("expansion"))
+    """Every turn with each place of an alias replaced by its other side."""
+    query_ = F.concat("query", F.when(F.col("query_id.turn") % 2 == 0, "  FACTURA").otherwise(""))
+    return _turns(spark, d).select("query_id.conv_id", "query_id.turn", F.explode(T.alias_expansions(query_)).alias("expansion"))
 
 
 @query(f"""

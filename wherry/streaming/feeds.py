@@ -7,10 +7,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import store as K
+from ..operators.tableset import TableSet
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -94,3 +96,22 @@ def upserting(table: VersionedTable, key: str, order: list[str]) -> Callable[[Da
 def _before(table: VersionedTable, number: int) -> DataFrame:
     known = [v for v in table.versions() if v < number]
     return table.spark.read.schema(table.schema).parquet(f"{table.path}/v{known[-1]}") if known else table.spark.createDataFrame([], table.schema)
+
+
+def merging(tables: TableSet, name: str, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function like ``upserting``, for a table in buckets of its key: only the buckets of a batch's keys are rewritten.
+
+    A batch that comes again changes nothing; the last two versions stay.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        base = tables.manifest()
+        keys = batch.select(key).distinct()
+        rows = batch
+        if name in base["tables"]:
+            old = tables.read(name, tables.asked(keys, key), base)
+            rows = old.join(keys.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi").unionByName(batch.select(old.columns))
+        tables.cascade({name: K.latest(rows, key, order)}, keys, key, number)
+        tables.vacuum()
+
+    return apply
