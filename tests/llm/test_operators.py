@@ -153,21 +153,17 @@ def test_join_tells_texts_under_one_id_apart(spark):
     assert keys[None] == [(4, 4, 0)]
 
 
-def brute_edges(labels, trees, depth, prefix, crowd):
-    """Sets of each node that are joined: whole labels with a crowd, else prefixes among the rest."""
-    groups = []
+def prefix_roots(labels, trees, depth, prefix):
+    """The smallest set that each set shares a shortened prefix with, in any tree, over any number of steps."""
+    root = list(range(len(labels)))
     for t in range(trees):
-        part = [x[t * 2 * depth : (t + 1) * 2 * depth] for x in labels]
-        whole = {}
-        for i, p in enumerate(part):
-            whole.setdefault(p, []).append(i)
-        groups += [g for g in whole.values() if len(g) >= crowd]
-        rest = {}
-        for p, g in whole.items():
-            if len(g) < crowd:
-                rest.setdefault(p[: 2 * prefix], []).extend(g)
-        groups += rest.values()
-    return groups
+        groups = {}
+        for i, x in enumerate(labels):
+            groups.setdefault(x[t * 2 * depth :][: 2 * prefix], []).append(i)
+        for g in groups.values():
+            low = {root[i] for i in g}
+            root = [min(low) if r in low else r for r in root]
+    return root
 
 
 def test_bitmap_loses_no_key(spark, monkeypatch):
@@ -179,43 +175,63 @@ def test_bitmap_loses_no_key(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("batch", [7, 1000])
-def test_node_runs_equal_brute_force(batch):
+@pytest.mark.parametrize("crowd", [2, 5, 10**6])
+def test_node_runs_equal_brute_force(batch, crowd):
+    """However many sets share a label, those that share a prefix hang together: a crowd changes no component."""
     rng = random.Random(21)
-    trees, depth, prefix, crowd = 2, 3, 2, 5
-    labels = [bytes(rng.choice((0, 1)) if k % 2 else 0 for k in range(2 * depth * trees)) for _ in range(90)]
+    trees, depth, prefix = 2, 4, 2
+    labels = [bytes(rng.randrange(12) if k % 2 else 0 for k in range(2 * depth * trees)) for _ in range(60)]
+    labels += [rng.choice(labels) for _ in range(90)]
     rows = sorted((t, x[t * 2 * depth : (t + 1) * 2 * depth], i) for i, x in enumerate(labels) for t in range(trees))
     keys = np.array([list(t.to_bytes(2, "big") + p) for t, p, _ in rows], dtype=np.uint8)
     nodes = np.array([i for *_, i in rows], dtype=np.int64)
     runs = ngram_join.NodeRuns(prefix, crowd)
+    root = list(range(len(labels)))
     for at in range(0, len(rows), batch):
         runs.add(keys[at : at + batch], nodes[at : at + batch])
     runs.add(keys[:0], nodes[:0], last=True)
-    got = set(zip(*(x.tolist() for x in runs.taken()), strict=True))
-    # stars: every member of a group hangs off one of its members
-    for g in brute_edges(labels, trees, depth, prefix, crowd):
-        assert any(all(i == h or (h, i) in got for i in g) for h in g), g
-    assert all(any(a in g and b in g for g in brute_edges(labels, trees, depth, prefix, crowd)) for a, b in got)
+    for a, b in zip(*(x.tolist() for x in runs.taken()), strict=True):
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    want = prefix_roots(labels, trees, depth, prefix)
+    assert root == want and 1 < len(set(want)) < 60
 
 
-def test_node_runs_join_over_tasks(spark):
+@pytest.mark.parametrize("crowd", [3, 6, 1000])
+def test_node_runs_join_over_tasks(spark, crowd):
     rng = random.Random(22)
     trees, depth = 3, 4
-    rows = [(i, bytes(rng.choice((0, 1)) for _ in range(2 * depth * trees))) for i in range(400)]
+    rows = [(i, bytes(rng.choice((0, 1, 2, 3)) for _ in range(2 * depth * trees))) for i in range(400)]
     reps = spark.createDataFrame(rows, "node long, labels binary").repartition(4)
-    edges, _ = ngram_join.forest_edges(reps, trees, depth, 1, crowd=6)
+    edges, _ = ngram_join.forest_edges(reps, trees, depth, 2, crowd=crowd)
     got, _ = shared.components(edges)
     root = {r["node"]: r["root"] for r in got.collect()}
-    want = list(range(len(rows)))
-    for g in brute_edges([x for _, x in rows], trees, depth, 1, 6):
-        low = {want[i] for i in g}
-        want = [min(low) if w in low else w for w in want]
+    want = prefix_roots([x for _, x in rows], trees, depth, 2)
     assert all(root.get(i, i) == want[i] for i in range(len(rows)))
 
 
+def test_links_in_a_crowd_are_found_as_elsewhere(spark):
+    """Variants of one text, each somewhat above the threshold from it: many share labels, and the links of each are still found."""
+    rng = random.Random(31)
+    base = sentence(rng, 150, 5000).split()
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(3, 147), 2):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base)] * 100 + [" ".join([*base[:-1], f"y{i}"]) for i in range(100)]
+    got = {r["doc_id"]: r for r in ngram_join.ngram_join(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    sets = [shingle_set(t) for t in texts]
+    wanted = {i: sum(1 for j in range(len(texts)) if j != i and jaccard(sets[i], sets[j]) >= 0.8) for i in range(len(texts))}
+    assert all(got[i]["n_links"] <= wanted[i] for i in wanted)
+    assert sum(r["n_links"] for r in got.values()) >= ngram_join.TARGET_RECALL * sum(wanted.values())
+
+
 @pytest.mark.parametrize("band", [(0.80, 0.85), (0.85, 0.9), (0.9, 1.0)])
 @pytest.mark.parametrize("depth", [ngram_join.DEPTH, ngram_join.prefix_depth(0.8)])
 def test_recall_by_band(band, depth):
-    """Pairs of each band share a prefix at least as often as stated, in crowds (whole label) and elsewhere."""
+    """Pairs of each band share a prefix at least as often as stated, whole labels and shortened ones."""
     rng = np.random.default_rng(23)
     hasher, hit, n = ngram_join.MinHasher(), 0, 300
     for _ in range(n):
@@ -838,3 +854,21 @@ def test_many_blocks_of_items(spark, monkeypatch):
     assert len(list(D._index_blocks(bench))) > 2
     assert {(r["doc_id"], r["item_id"]) for r in D.decontaminate(table, bench).collect()} == {(i, i) for i in range(7)}
     assert {r["doc_id"] for r in D.without_passages(table, bench).collect()} == set(range(7, 12))
+
+
+def test_exact_dedup_of_the_smallest_id(spark):
+    low = -(2**63)
+    rows = [(low, "a b", "s"), (2**63 - 1, "ab", "s"), (None, "a b", "s"), (None, "c", "s"), (5, "d d", "s"), (low, "dd ", "s")]
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(low, low, 3, True), (2**63 - 1, low, 3, False), (None, low, 3, False), (None, None, 1, False), (5, low, 2, False), (low, low, 2, True)], key=str)
+
+
+def test_models_that_mark_spaces_after_words_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    made = sentencepiece_model_pb2.ModelProto()
+    made.ParseFromString(SP.model_bytes(SP.MODEL))
+    assert SP.Model(made.SerializeToString()).kind == SP.BPE
+    made.trainer_spec.treat_whitespace_as_suffix = True
+    with pytest.raises(ValueError, match="spaces after words"):
+        SP.Model(made.SerializeToString())

@@ -88,7 +88,7 @@ def test_odd_rows_and_columns(spark, data):
     from pyspark.sql import functions as F
 
     rows = [(1, "one two three four five six seven", "en", "a", 5), (1, "one two three four five six seven", "en", "a", 5), (2, None, None, None, None), (None, "x", "en", "b", 1), (3, "", "en", "b", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(1), "rep": F.lit(2), "keys": F.lit(3)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(1), "rep": F.lit(2), "keys": F.lit(3), "__text": F.lit(4), "__id": F.lit(5), "ID": F.lit(6), "text_hash": F.lit(7)})
     for table, left in ((docs, 4), (docs.limit(0), 0)):  # of the two rows that repeat, one stays
         for name, stage in P.STAGES:
             out = written(stage(spark, table, data), "odd")[0]
