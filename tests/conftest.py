@@ -12,7 +12,7 @@ os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 def spark():
     from wherry.session import session
 
-    s = session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__driver__host="127.0.0.1")
+    s = session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__driver__host="127.0.0.1", spark__sql__sources__parallelPartitionDiscovery__threshold="256")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

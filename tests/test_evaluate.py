@@ -76,3 +76,51 @@ def test_ranked_and_correlated(spark):
     one = ranks.rank_correlation(rows, "a", "b", ["i"]).first()
     assert one["n"] == 500 and one["rank"] == pytest.approx(np.corrcoef(place(a), place(b))[0, 1], abs=1e-6)
     assert ranks.rank_correlation(rows.limit(0), "a", "b", ["i"]).first()["rank"] is None
+
+
+# ------------------------------------------------------------------ explanations and graphs
+
+
+def test_compact_sentences(spark):
+    from wherry.operators import explained as XP
+
+    rows = [(1, "red car", 3, 1, 2, 0), (2, None, 1, 0, 0, 1), (3, " ", 4, 2, 0, 0), (4, "x", 2, 0, 1, 1)]
+    counts = spark.createDataFrame(rows, "query_id int, query string, results long, best long, partial long, related long")
+    en = {r["query_id"]: r["text"] for r in XP.compact(counts).collect()}
+    assert en[1] == "You searched for “red car”. Found 3 results. Among the images, 1 is a complete match, 2 are partial matches, and 0 are related matches. Complete matches cover the whole search; the others match only part of it."
+    assert en[2] == "You searched your files. Found 1 result. These results are shown because they are the closest available matches."
+    assert en[3].endswith("2 are complete matches, 0 are partial matches, and 0 are related matches. All displayed images cover the whole search.")
+    assert en[4].endswith("No displayed image covers the whole search; partial matches cover only part of it.")
+    ro = {r["query_id"]: r["text"] for r in XP.compact(counts, "ro").collect()}
+    assert ro[2] == "Ai căutat în fișierele tale. Am găsit 1 rezultat. Aceste rezultate sunt afișate deoarece sunt cele mai apropiate potriviri disponibile."
+    tiers = spark.createDataFrame([(1, "image", "BEST"), (1, "DOCUMENT", "BEST"), (1, "IMAGE", None)], "query_id int, modality string, tier string")
+    assert tuple(XP.tier_counts(tiers).first()) == (1, 3, 1, 0, 0)
+
+
+def test_projection_and_its_issues(spark):
+    from wherry.operators import explained as XP
+
+    rows = [(1, "e1", 10, 1, True, 0.5), (1, "e1", 11, 2, True, None), (2, "e2", 10, 1, False, 0.5), (3, "e3", 10, 1, True, 0.5), (3, "e3", 10, 2, True, 0.5), (4, "e4", None, 1, True, 0.5), (5, "e5", 7, 1, True, 0.5)]
+    results = spark.createDataFrame(rows, "query_id int, execution_id string, doc_id long, rank int, complete boolean, confidence double")
+    better = spark.createDataFrame([(1, 11, 0.9), (2, 10, None), (5, 8, 0.1)], "query_id int, doc_id long, confidence double")
+    assert {tuple(r) for r in XP.issues(results, {"confidence": better}).collect()} == {(3, 10, "duplicate resultId"), (4, None, "resultId"), (5, 8, "confidence contains unknown resultId")}
+    got = {r["query_id"]: (r["explanation_id"], r["state"], r["results"], r["evidence"], r["missing"]) for r in XP.projected(results, {"confidence": better}, "1").collect()}
+    assert got == {
+        1: ("e1:explanation:1", "AVAILABLE", 2, 2, 0), 2: ("e2:explanation:1", "PARTIAL", 1, 0, 1), 3: ("e3:explanation:1", "INVALID", 0, 0, 0),
+        4: ("e4:explanation:1", "INVALID", 0, 0, 0), 5: ("e5:explanation:1", "INVALID", 0, 0, 0),
+    }
+
+
+def test_graph_is_built_in_order(spark):
+    from wherry.operators import graph as G
+
+    concepts = spark.createDataFrame([(0, " a ", ["x", " "]), (1, "a", ["y", "x"]), (2, None, ["z"]), (3, "b", None)], "ord int, id string, tokens array<string>")
+    relations = spark.createDataFrame([(1, "a", "b", "K"), (0, " a", "c", "K"), (2, "", "c", "K")], "ord int, src string, dst string, kind string")
+    ids, tokens, places = G.built(concepts, relations)
+    assert {tuple(r) for r in ids.collect()} == {("a", 0), ("b", 3)}
+    assert {tuple(r) for r in tokens.collect()} == {("x", "a"), ("y", "a"), ("z", "")}
+    assert {tuple(r) for r in places.collect()} == {("a", 1, "c", "K"), ("a", 2, "b", "K")}
+    steps = spark.createDataFrame([(0, "s", "n", 2, "p"), (1, "s", "n", 1, "q")], "at int, start string, node string, depth int, origin string")
+    assert tuple(G.materialised(steps, ("at",)).first()) == ("s", "n", 1, "q")
+    best = spark.createDataFrame([(1, "c1", "COLOR", 0.9), (2, "p", "PERSON", 0.8)], "query_id int, id string, type string, score double")
+    assert {tuple(r) for r in G.resolved(best).collect()} == {(1, 0.9, None, "c1", None, None), (2, 0.8, None, None, None, None)}

@@ -244,6 +244,12 @@ def snippet(clean: Column, token: Column, pos: Column) -> Column:
     return F.when(token.isNull(), short).otherwise(marked)
 
 
+def fallback_snippet(c: Column, chars: int = 220) -> Column:
+    """The start of a text on one line, where no query word is to be shown; line ends are blanks."""
+    text = trimmed(F.translate(F.coalesce(c, F.lit("")), "\n\r", "  "))
+    return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(text)
+
+
 def extension(name: Column) -> Column:
     """Lower-cased extension: after the last dot, if that is after the last slash and not the end."""
     return F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./\\]+)$", 1))

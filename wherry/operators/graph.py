@@ -112,12 +112,41 @@ def expand(starts: DataFrame, relations: DataFrame, depth: int = 1, limit: int =
     return found.where(F.col("ord") <= limit)
 
 
-def materialised(steps: DataFrame) -> DataFrame:
-    """start, node, depth, origin: each node once; of several steps to it the last counts."""
-    last = F.max_by(F.struct("depth", "origin"), F.struct("depth", "origin")).alias("l")
+def materialised(steps: DataFrame, arrival: tuple[str, ...] = ("depth", "origin")) -> DataFrame:
+    """start, node, depth, origin: each node once; of several steps to it the one that arrived last counts.
+
+    ``arrival`` are the columns of ``steps`` by which they came.
+    """
+    last = F.max_by(F.struct("depth", "origin"), F.struct(*arrival)).alias("l")
     return steps.groupBy("start", "node").agg(last).select("start", "node", "l.depth", "l.origin")
 
 
+def built(concepts: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, ord), (token, id), (src, place, dst, kind)) of a graph that is read in order.
+
+    ``concepts`` has ord, id and tokens, ``relations`` ord, src, dst and kind. Keys are trimmed
+    and blank ones left out. Of concepts with one id, and of those with one token, the first
+    counts; all relations of a source stay, in their order.
+    """
+    ids = concepts.select(F.trim(F.coalesce("id", F.lit(""))).alias("id"), "ord", "tokens")
+    by_id = ids.where("id <> ''").groupBy("id").agg(F.min("ord").alias("ord"))
+    each = ids.select("id", "ord", F.explode("tokens").alias("token")).withColumn("token", F.trim(F.coalesce("token", F.lit("")))).where("token <> ''")
+    by_token = each.groupBy("token").agg(F.min_by("id", "ord").alias("id"))
+    src = relations.withColumn("src", F.trim(F.coalesce("src", F.lit("")))).where("src <> ''")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("ord")).cast("long")
+    return by_id, by_token, src.select("src", place.alias("place"), "dst", "kind")
+
+
+#: The types of concepts that a search asks by, and what they are called there.
+BUCKETS = {"OBJECT": "object", "COLOR": "color", "PLACE": "place", "ACTION": "action"}
+
+
+def resolved(best: DataFrame) -> DataFrame:
+    """query_id, score, object, color, place, action: the best concept of each query (id, type, score) under its type; a person is none of them."""
+    typed = [F.when(F.upper("type") == t, F.col("id")).alias(n) for t, n in BUCKETS.items()]
+    return best.select("query_id", "score", *typed)
+
+
 def statistics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """One row: nodes, relations, tokens, lone nodes, tokenless nodes, largest and mean out-degree, density."""
     out = relations.groupBy("src").agg(F.count(F.lit(1)).alias("n"))

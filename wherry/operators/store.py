@@ -100,3 +100,17 @@ def since(listing: DataFrame, mark, order: str) -> tuple[DataFrame, DataFrame]:
 def migrated(old: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``old`` with the columns that a newer schema adds, null."""
     return old.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in old.columns})
+
+
+def keyset_page(rows: DataFrame, time: str, key: str, after: tuple | None = None, size: int = 50) -> DataFrame:
+    """The newest ``size`` rows after a place (time and key of the last row seen; none for the first page), newest first, ties by key; rows without a time are on no page."""
+    left = rows.where(F.col(time).isNotNull())
+    if after is not None:
+        left = left.where((F.col(time) < F.lit(after[0])) | ((F.col(time) == F.lit(after[0])) & (F.col(key) > F.lit(after[1]))))
+    return left.orderBy(F.desc(time), key).limit(size)
+
+
+def last_place(page: DataFrame, time: str, key: str) -> tuple | None:
+    """Where a page ends; none for an empty one."""
+    row = page.orderBy(time, F.desc(key)).select(time, key).first()
+    return (row[0], row[1]) if row else None

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import explain as E
+from ..operators import explained as XP
 from ..operators import graph as G
 from ..operators import search as R
 from ..operators import stored as D
+from ..sources.concepts import TYPES
 from . import base as B
 from .base import query, query_set, table
 from .built import stored_index
@@ -164,15 +166,107 @@ def score_distribution(spark, d):
 @query(f"""
 WITH {_GRAPH}, e AS (SELECT DISTINCT src, dst FROM rels), one AS (SELECT src AS start, dst AS node, 1 AS depth, src AS origin FROM e),
 steps AS (SELECT * FROM one UNION ALL SELECT start, dst, 2, node FROM one JOIN e ON node = src)
-SELECT start, node, max(depth) AS depth, arg_max(origin, (depth, origin)) AS origin FROM steps WHERE start LIKE 'r%' GROUP BY start, node
+SELECT start, node, arg_max(depth, (origin, depth)) AS depth, max(origin) AS origin FROM steps WHERE start LIKE 'r%' GROUP BY start, node
 """)
 def expansion_last(spark, d):
-    """Nodes within two steps of each region, with the last step to them."""
+    """Nodes within two steps of each region, with the last step to them; steps come by the node they start from."""
     _, rels = _graph(spark, d)
     e = rels.select("src", "dst").distinct()
     one = e.where("src LIKE 'r%'").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.col("src").alias("origin"))
     two = one.join(e, one["node"] == e["src"]).select("start", F.col("dst").alias("node"), F.lit(2).alias("depth"), F.col("src").alias("origin"))
-    return G.materialised(one.unionByName(two))
+    return G.materialised(one.unionByName(two), ("origin", "depth"))
+
+
+@query(f"""
+WITH {_GRAPH}, twice AS (SELECT id, tokens, 0 AS o FROM nodes UNION ALL SELECT ' ' || id || ' ', list_append(tokens, 'again'), 1 FROM nodes UNION ALL SELECT '  ', ['blank'], 2),
+c AS (SELECT trim(id) AS id, tokens, o || ':' || id AS ord FROM twice), t AS (SELECT id, ord, unnest(tokens) AS token FROM c)
+SELECT 'id' AS part, id AS key, min(ord) AS value FROM c WHERE id <> '' GROUP BY id
+UNION ALL SELECT 'token', token, arg_min(id, ord) FROM t WHERE token <> '' GROUP BY token
+UNION ALL SELECT 'relation', src || '#' || row_number() OVER (PARTITION BY src ORDER BY dst, kind), dst || ':' || kind FROM rels
+""")
+def graph_build(spark, d):
+    """The graph's tables read in order, every concept a second time and one without an id: the first of each id and token, all relations in their order."""
+    nodes, rels = _graph(spark, d)
+    placed = lambda df, o: df.withColumn("ord", F.concat(F.lit(f"{o}:"), "id"))
+    again = nodes.select(F.concat(F.lit(" "), "id", F.lit(" ")).alias("id"), F.array_append("tokens", F.lit("again")).alias("tokens"))
+    blank = spark.createDataFrame([("  ", ["blank"])], "id string, tokens array<string>")
+    concepts = placed(nodes, 0).unionByName(placed(again, 1)).unionByName(placed(blank, 2))
+    by_id, by_token, by_source = G.built(concepts, rels.withColumn("ord", F.struct("dst", "kind")))
+    out = by_id.select(F.lit("id").alias("part"), F.col("id").alias("key"), F.col("ord").alias("value")).unionByName(by_token.select(F.lit("token").alias("part"), F.col("token").alias("key"), F.col("id").alias("value")))
+    return out.unionByName(by_source.select(F.lit("relation").alias("part"), F.concat("src", F.lit("#"), F.col("place").cast("string")).alias("key"), F.concat("dst", F.lit(":"), "kind").alias("value")))
+
+
+@query(f"""
+WITH qv AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, label, {B.cosine("a", "embedding")} AS score FROM qv, embeddings WHERE vec_id <> query_id),
+b AS (SELECT query_id, arg_min(vec_id, (-score, vec_id)) AS id, arg_min(label, (-score, vec_id)) % 5 AS t, max(score) AS score FROM s GROUP BY query_id)
+SELECT query_id, score, CASE WHEN t = 0 THEN id END AS object, CASE WHEN t = 1 THEN id END AS color, CASE WHEN t = 2 THEN id END AS place, CASE WHEN t = 3 THEN id END AS action FROM b
+""")
+def concept_resolution(spark, d):
+    """Every fiftieth vector is a query: its nearest concept, under the type that the label gives it."""
+    v = table(spark, d, "embeddings")
+    scored = R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, of_vector=["label"]).where("vec_id <> query_id")
+    order = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
+    best = scored.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "label", "score"), order).alias("b"))
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("b.label") % 5 + 1).cast("int"))
+    return G.resolved(best.select("query_id", F.col("b.vec_id").alias("id"), kind.alias("type"), F.col("b.score").alias("score")))
+
+
+_TIERED = """
+res AS (
+  SELECT CAST(l_orderkey % 400 AS INTEGER) AS query_id, l_orderkey, CASE WHEN (l_orderkey % 400) % 2 = 0 THEN 'IMAGE' ELSE 'DOCUMENT' END AS modality,
+    CASE WHEN (l_orderkey % 400) % 4 = 2 THEN CASE WHEN l_quantity > 48 THEN 'BEST' ELSE 'RELATED' END WHEN l_quantity > 49 THEN 'BEST' WHEN l_quantity > 46 THEN 'PARTIAL' WHEN l_quantity > 44 THEN 'RELATED' END AS tier FROM lineitem
+), n AS (
+  SELECT query_id, count(*) AS results, count(*) FILTER (modality = 'IMAGE' AND tier = 'BEST') AS best, count(*) FILTER (modality = 'IMAGE' AND tier = 'PARTIAL') AS partial,
+    count(*) FILTER (modality = 'IMAGE' AND tier = 'RELATED') AS related, CASE WHEN query_id % 3 = 0 THEN NULL ELSE 'query ' || query_id END AS query FROM res GROUP BY query_id
+)
+"""
+
+
+def _compact_sql(language: str) -> str:
+    s = {k: [x.replace("'", "''") for x in (v if isinstance(v, tuple) else (v,))] for k, v in XP.SENTENCES[language].items()}
+    some = lambda name: f"CASE WHEN {name} = 1 THEN '{s[name][0]}' ELSE {name} || '{s[name][1]}' END"
+    t = s["tiers"]
+    return f"""
+CASE WHEN trim(coalesce(query, '')) <> '' THEN '{s["asked"][0]}' || query || '{s["asked"][1]}' ELSE '{s["asked nothing"][0]}' END
+  || '{s["found"][0]}' || results || CASE WHEN results = 1 THEN '{s["found"][1]}' ELSE '{s["found"][2]}' END
+  || CASE WHEN best + partial = 0 THEN '{s["no tiers"][0]}' ELSE '{t[0]}' || {some("best")} || '{t[1]}' || {some("partial")} || '{t[2]}' || {some("related")} || '{t[3]}'
+    || CASE WHEN best > 0 AND partial + related = 0 THEN '{s["all"][0]}' WHEN best > 0 THEN '{s["some"][0]}' ELSE '{s["parts"][0]}' END END"""
+
+
+@query(f"WITH {_TIERED} SELECT query_id, {_compact_sql('en')} AS english, {_compact_sql('ro')} AS romanian FROM n")
+def compact_explanation(spark, d):
+    """What each search found, in a few English and Romanian sentences; lines of orders play the results."""
+    q, n = F.pmod("l_orderkey", F.lit(400)).cast("int"), F.col("l_quantity")
+    few = F.when(n > 48, "BEST").otherwise("RELATED")
+    tier = F.when(q % 4 == 2, few).when(n > 49, "BEST").when(n > 46, "PARTIAL").when(n > 44, "RELATED")
+    results = table(spark, d, "lineitem").select(q.alias("query_id"), F.when(q % 2 == 0, "IMAGE").otherwise("DOCUMENT").alias("modality"), tier.alias("tier"))
+    counts = XP.tier_counts(results).withColumn("query", F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("query "), F.col("query_id").cast("string"))))
+    return XP.compact(counts, "en").withColumnRenamed("text", "english").join(XP.compact(counts, "ro").withColumnRenamed("text", "romanian"), "query_id")
+
+
+@query(f"""
+WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS p FROM orders), twice AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE doc_id % 97 = 0),
+a AS (SELECT query_id, CASE WHEN doc_id % 89 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, doc_id AS k, doc_id % 2 = 0 AS here FROM r),
+bad AS (SELECT DISTINCT query_id FROM r WHERE doc_id % 97 = 0 OR doc_id % 89 = 0),
+row_ AS (SELECT query_id, doc_id, CASE WHEN doc_id % 89 = 0 OR doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS seen, doc_id % 10 <> 0 AS complete FROM twice)
+SELECT 'search' || query_id || ':explanation:1' AS explanation_id, query_id, CASE WHEN b THEN 'INVALID' WHEN bool_and(complete) THEN 'AVAILABLE' ELSE 'PARTIAL' END AS state,
+  CAST(CASE WHEN b THEN 0 ELSE count(*) END AS BIGINT) AS results, CAST(CASE WHEN b THEN 0 ELSE sum(seen) END AS BIGINT) AS evidence, CAST(CASE WHEN b THEN 0 ELSE 2 * count(*) - sum(seen) END AS BIGINT) AS missing,
+  '{",".join(XP.LIMITATIONS)}' AS limitations
+FROM (SELECT row_.*, bad.query_id IS NOT NULL AS b FROM row_ LEFT JOIN bad USING (query_id)) GROUP BY query_id, b
+""")
+def explanation_projection(spark, d):
+    """Orders play the results of their customers' searches; some stand twice, some agreements are about none: those searches are not explained."""
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))
+    # of a result itself agreement is known; what is supplied for it takes that away where it is odd
+    rows = r.unionByName(r.where("doc_id % 97 = 0")).select(
+        "query_id", "doc_id", F.concat(F.lit("search"), "query_id").alias("execution_id"), F.lit(1).alias("rank"), (F.col("doc_id") % 10 != 0).alias("complete"),
+        F.lit(0.5).alias("agreement"), F.when(F.col("doc_id") % 5 != 0, 0.5).alias("confidence"),
+    )
+    odd = F.when(F.col("doc_id") % 89 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    agreement = r.select("query_id", odd.alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, 0.7).alias("agreement"))
+    confidence = r.limit(0).withColumn("confidence", F.lit(None).cast("double"))
+    return XP.projected(rows, {"agreement": agreement, "confidence": confidence}, "1")
 
 
 @query(f"""

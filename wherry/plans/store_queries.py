@@ -334,3 +334,22 @@ def result_lookup(spark, d):
 def high_water_mark(spark, d):
     """The mark after a poll that had seen a hundred events."""
     return K.since(table(spark, d, "events").select("event_id"), 100, "event_id")[1]
+
+
+@query("""
+SELECT CAST((r - 1) // 50 + 1 AS INTEGER) AS page, client_id, updated_at FROM (
+  SELECT *, row_number() OVER (ORDER BY updated_at DESC, client_id) AS r FROM (SELECT DISTINCT client_id, updated_at FROM clients WHERE updated_at IS NOT NULL)
+) WHERE r <= 150
+""")
+def recency_pages(spark, d):
+    """Three pages of the clients that were updated last, each from where the page before it ended."""
+    rows_ = table(spark, d, "clients").select("client_id", "updated_at").distinct()
+    out, after = None, None
+    for n in (1, 2, 3):
+        page = K.keyset_page(rows_, "updated_at", "client_id", after)
+        after = K.last_place(page, "updated_at", "client_id")
+        page = page.select(F.lit(n).alias("page"), "client_id", "updated_at")
+        out = page if out is None else out.unionByName(page)
+        if after is None:
+            break
+    return out

@@ -114,3 +114,21 @@ def stream_reconciliation(spark, d):
         done = ended if done is None else done.unionByName(ended)
     state = F.when(F.col("sweep").isNotNull(), "INDEXED").otherwise(F.col("state"))
     return files.join(done, "id", "left").select(F.col("id").alias("doc_id"), "sweep", state.alias("state"))
+
+
+@query("""
+SELECT client_id, change_id, seq, op, segment, city, balance FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, change_id DESC) AS r FROM (SELECT DISTINCT client_id, change_id, seq, op, segment, city, balance FROM client_changes)
+) WHERE r = 1 AND op <> 'D'
+""")
+def stream_client_changes(spark, d):
+    """Changes of clients as they come, repeated and out of order, into a table in buckets: of each client the last one, and none of those deleted last."""
+    static = table(spark, d, "client_changes").select("client_id", "change_id", "seq", "op", "segment", "city", "balance")
+    source, sink, mark = (X.work_dir(spark, n) for n in ("changes", "clients", "mark"))
+    static.repartition(3).write.parquet(source)
+    target = TableSet(spark, sink)
+    stream = X.arrivals(spark, source, static.schema, files_per_batch=1)
+    work = stream.writeStream.foreachBatch(X.merging(target, "clients", "client_id", ["seq", "change_id"])).option("checkpointLocation", mark)
+    work.trigger(availableNow=True).start().awaitTermination()
+    # a deletion stays in the table as a mark, so that an older change that comes later does not bring the client back
+    return target.read("clients").where("op <> 'D'").select(static.columns)

@@ -398,3 +398,11 @@ def provider_vectors(spark, d):
     """Vectors of a provider (here the deterministic stand-in) for every item."""
     out = P.provided(table(spark, d, "benchmark").select("item_id", "text"), P.ShapeEncoder, "array<double>")
     return out.select("item_id", *[F.get("value", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("chars", "blanks", "a", "e", "t"))], "error")
+
+
+@query(f"""
+WITH {B.CHUNK_SQL}, l AS (SELECT doc_id, chunk_index, {B.trimmed("translate(chunk_text, chr(10) || chr(13), '  ')")} AS t FROM chunks)
+SELECT doc_id, chunk_index, CASE WHEN length(t) > 220 THEN substring(t, 1, 220) || '...' ELSE t END AS snippet FROM l
+""")
+def fallback_snippet(spark, d):
+    return I.chunks(table(spark, d, "documents")).select("doc_id", "chunk_index", T.fallback_snippet(F.col("chunk_text")).alias("snippet"))
