@@ -222,9 +222,9 @@ def semantic_tokens(spark, d):
 @query(f"""
 WITH {_SIMILAR}, hit AS (SELECT DISTINCT doc_id, chunk_index, word FROM (SELECT doc_id, chunk_index, unnest(words) AS word FROM w)),
 ranked AS (SELECT token, doc_id, chunk_index, word, similarity, row_number() OVER (PARTITION BY token, doc_id, chunk_index ORDER BY similarity DESC, word) AS r FROM hit JOIN pairs USING (word))
-SELECT token, count(*) AS chunks, count(*) FILTER (word <> token) AS by_meaning, round(sum(round(similarity * 1.4::DOUBLE, 6)), 4) AS total FROM ranked WHERE r = 1 GROUP BY token
+SELECT token, count(*) AS chunks, count(*) FILTER (word <> token) AS by_meaning, CAST(sum(CAST(round(similarity * 1.4::DOUBLE * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM ranked WHERE r = 1 GROUP BY token
 """)
 def semantic_token_match(spark, d):
-    """Of each benchmark word: the chunks with a word near it, those where that is another word, and what the matches count in all."""
+    """Of each benchmark word: the chunks with a word near it, those where that is another word, and what the matches count in all (whole millionths, whose sum has no order)."""
     found = V.best_words(_similar(spark, d), stored_index(spark, d).all_postings())
-    return found.groupBy("token").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("word") != F.col("token")).alias("by_meaning"), F.round(F.sum("score"), 4).alias("total"))
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("word") != F.col("token")).alias("by_meaning"), F.sum(F.round(F.col("score") * 1000000).cast("long")).alias("millionths"))
