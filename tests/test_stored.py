@@ -206,3 +206,36 @@ def test_best_words(spark):
     pairs = spark.createDataFrame([("cat", "cats", 0.9), ("cat", "cat", 1.0), ("cat", "catt", 0.9)], "token string, word string, similarity double")
     postings = spark.createDataFrame([("cats", 1, 0), ("cat", 1, 0), ("catt", 2, 0), ("cats", 2, 0), ("dog", 3, 0)], "token string, doc_id long, chunk_index int")
     assert {tuple(r) for r in V.best_words(pairs, postings).collect()} == {("cat", 1, 0, "cat", 1.4), ("cat", 2, 0, "cats", 1.26)}
+
+
+# ------------------------------------------------------------------ building moves nothing
+
+
+def test_building_shuffles_no_posting(spark, tmp_path):
+    """Chunks and postings are written where the documents are read: of all that an index builds only the list of ids is dealt out."""
+    plans = []
+    index = D.StoredIndex(spark, str(tmp_path), buckets=4)
+    laid, staged = index.set.laid, index.set.staged
+    index.set.laid = lambda name, rows, *a: plans.append((name, rows)) or laid(name, rows, *a)
+    index.set.staged = lambda name, rows, *a: plans.append((name, rows)) or staged(name, rows, *a)
+    index.add(docs(spark, [(1, "with this and that with this"), (2, None)]))
+    for name, rows in plans:
+        assert name == "documents" or "Exchange" not in rows._jdf.queryExecution().executedPlan().toString(), name
+    assert {n for n, _ in plans} == {"documents", "chunks", "tokens", "terms"}
+    assert {(r["token"], r["doc_id"], tuple(r["places"]), r["n_words"]) for r in index.all_postings().collect()} == {
+        ("with", 1, (0, 4), 6), ("this", 1, (1, 5), 6), ("and", 1, (2,), 6), ("that", 1, (3,), 6)
+    }
+
+
+def test_postings_come_when_they_are_asked_for(spark, tmp_path):
+    index = D.StoredIndex(spark, str(tmp_path), buckets=4, postings=("terms",))
+    index.add(docs(spark, [(1, "with this"), (2, "that from")]))
+    index.add(docs(spark, [(2, "with this with this")]), batch=1)
+    assert "tokens" not in index.set.manifest()["tables"]
+    asked = spark.createDataFrame([(1, "with this")], "query_id int, query string")
+    assert {tuple(r) for r in index.lookup(Q._hashes(asked)).select("doc_id", "matched", "tf").collect()} == {(1, 3, 3), (2, 3, 6)}
+    index.derive("tokens")
+    assert index.derive("tokens") == index.set.manifest()["version"]
+    assert {(r["word"]) for r in index.words().collect()} == {"with", "this"}
+    index.add(docs(spark, [(3, "from them")]), batch=2)
+    assert {(r["word"]) for r in index.words().collect()} == {"with", "this", "from", "them"}
