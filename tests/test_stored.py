@@ -239,3 +239,13 @@ def test_postings_come_when_they_are_asked_for(spark, tmp_path):
     assert {(r["word"]) for r in index.words().collect()} == {"with", "this"}
     index.add(docs(spark, [(3, "from them")]), batch=2)
     assert {(r["word"]) for r in index.words().collect()} == {"with", "this", "from", "them"}
+
+
+def test_new_rows_of_a_cascade_stay_where_they_are(spark, tmp_path):
+    tables = TableSet(spark, str(tmp_path), buckets=4)
+    plans, laid = [], tables.laid
+    tables.laid = lambda name, rows, *a: plans.append(rows) or laid(name, rows, *a)
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    tables.cascade({"one": rows}, rows, "k", 0)
+    assert len(plans) == 1 and "Exchange" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in tables.read("one").collect()} == {(1, "a"), (2, "b")}
