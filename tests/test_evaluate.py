@@ -124,3 +124,28 @@ def test_graph_is_built_in_order(spark):
     assert tuple(G.materialised(steps, ("at",)).first()) == ("s", "n", 1, "q")
     best = spark.createDataFrame([(1, "c1", "COLOR", 0.9), (2, "p", "PERSON", 0.8)], "query_id int, id string, type string, score double")
     assert {tuple(r) for r in G.resolved(best).collect()} == {(1, 0.9, None, "c1", None, None), (2, 0.8, None, None, None, None)}
+
+
+def test_conjunctions_of_documents_equal_those_of_rows(spark):
+    """The matrix of a batch gives what rows of documents and components give, ties and halves too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wherry.operators import evaluate as E
+    from wherry.operators import fuse as U
+
+    rng = random.Random(8)
+    found = [(f"c{c}", c, doc, rng.choice([1.0, 1.5, 3.0, 7.25, 0.000003, 2.333334])) for doc in range(700) for c in range(9) if rng.random() < 0.4]
+    keys = {f"k{i}": rng.sample(range(9), rng.randrange(1, 8)) for i in range(12)} | {"none": [11]}
+    each = spark.createDataFrame([(k, f"c{c}") for k, cs in keys.items() for c in cs], "query_id string, component string")
+    rows = spark.createDataFrame([(n, d, s) for n, _, d, s in found], "component string, id long, score double")
+    want = U.atomic_conjunction(rows.join(each, "component").withColumn("modality", F.lit("DOCUMENT")), each, 10)
+    tops = {}
+    for _, c, _, s in found:
+        tops[c] = max(s, tops.get(c, 0.0))
+    docs = spark.createDataFrame([(c, d, s) for _, c, d, s in found], "query_id long, doc_id long, score double").groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "score")).alias("found"))
+    got = E._conjunctions(docs, [(k, [(c, tops.get(c)) for c in cs]) for k, cs in keys.items()], 10)
+    got = {(r["key"], r["id"]): (r["support"], r["strength"]) for r in got.collect()}
+    want = want.select("query_id", "id", "support", F.round("strength", 6).alias("strength")).collect()
+    assert len(want) == 120 and all(got[r["query_id"], r["id"]] == (r["support"], r["strength"]) for r in want)

@@ -249,3 +249,18 @@ def test_new_rows_of_a_cascade_stay_where_they_are(spark, tmp_path):
     tables.cascade({"one": rows}, rows, "k", 0)
     assert len(plans) == 1 and "Exchange" not in plans[0]._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in tables.read("one").collect()} == {(1, "a"), (2, "b")}
+
+
+def shuffled(df):
+    """The keys of a plan's hash exchanges."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    return re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+
+
+def test_a_search_moves_lists_by_block_and_no_chunk_by_query(spark, stored):
+    index, held = stored
+    index.compact()
+    hits = index.hits(index.written(R.understood(spark.createDataFrame(QUERIES, "query_id int, query string"))))
+    assert set(shuffled(hits)) <= {"block"}
+    assert shuffled(index.lookup(Q._hashes(spark.createDataFrame(QUERIES, "query_id int, query string")))).count("query_id") <= 1

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from . import fuse as U
+from ..functions import scoring as S
 from . import graph as G
 from . import search as R
 from . import stored as D
@@ -70,13 +76,87 @@ class AtomicConjunction:
         return F.concat(F.lit("atomic\0"), F.array_join(F.array_sort(F.array_distinct(parts)), "\0"))
 
     def execute(self, requests: DataFrame, budget: Budget) -> DataFrame:
-        each = requests.select("key", F.explode(F.array_distinct("parts")).alias("component"))
-        asked = R.understood(each.select(F.col("component").alias("query_id"), F.col("component").alias("query")).distinct())
-        scored = R.documents(R.settle_scores(D.signals(asked, self.index.hits(asked))))
-        found = scored.select(F.col("query_id").alias("component"), "doc_id", "score").join(each, "component")
-        found = found.select(F.col("key").alias("query_id"), "component", F.lit("DOCUMENT").alias("modality"), F.col("doc_id").alias("id"), "score")
-        tiers = U.atomic_conjunction(found, each.withColumnRenamed("key", "query_id"), budget.results)
-        return tiers.select(F.col("query_id").alias("key"), "modality", "id", F.col("agreement").alias("score"))
+        each = self.index.written(requests.select("key", F.explode(F.array_distinct("parts")).alias("component")))
+        named = each.select("component").distinct().select(F.monotonically_increasing_id().alias("query_id"), "component")
+        named = self.index.written(named)
+        asked = self.index.written(R.understood(named.withColumnRenamed("component", "query")))
+        rows = R.settle_scores(D.signals(asked, self.index.hits(asked)))
+        # a document's chunks mostly lie in one block, where they become one row before anything moves
+        best = rows.groupBy("block", "query_id", "doc_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("hits")).repartition("doc_id")
+        best = best.groupBy("doc_id", "query_id").agg(F.max("best").alias("best"), F.sum("hits").alias("hits"))
+        score = F.round(F.col("best") + 0.5 * F.least("hits", F.lit(5)), 6)
+        docs = self.index.written(best.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", score.alias("score"))).alias("found")))
+        tops = docs.select(F.inline("found")).groupBy("query_id").agg(F.max("score").alias("top"))  # a row for each component
+        wanted = each.join(named, "component").join(tops, "query_id", "left").groupBy("key").agg(F.collect_list(F.struct("query_id", "top")).alias("parts")).collect()
+        kept = _conjunctions(docs, [(r["key"], [tuple(p) for p in r["parts"]]) for r in wanted], budget.results)
+        agreement = F.round(S.agreement(F.col("support"), F.col("components"), F.col("strength")), 6)
+        order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
+        tiers = kept.withColumn("score", agreement).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= budget.results)
+        return tiers.select("key", F.lit("DOCUMENT").alias("modality"), "id", "score")
+
+
+def _conjunctions(docs: DataFrame, wanted: list[tuple[str, list[tuple[int, float | None]]]], keep: int) -> DataFrame:
+    """key, id, support, components, strength: of each key's documents each batch's first ``keep`` by agreement, which no better ones of the batch precede.
+
+    ``docs`` has doc_id and found (component's query_id, score), ``wanted`` the stated keys with
+    their components' ids and best scores. A batch of documents is a matrix, so that keys and
+    documents that meet do not become rows.
+    """
+    ids = sorted({q for _, parts in wanted for q, _ in parts})
+    place = {q: i for i, q in enumerate(ids)}
+    tops = np.zeros(len(ids))
+    for _, parts in wanted:
+        for q, top in parts:
+            tops[place[q]] = top or 0.0
+    flat = np.array([place[q] for _, parts in wanted for q, _ in parts], np.int64)
+    size = np.array([len(parts) for _, parts in wanted], np.int64)
+    starts = np.cumsum(size) - size
+    names = [k for k, _ in wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows if wanted and keep else 0, 256):
+                yield from best(b.slice(at, 256))
+
+    def best(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        b = b.take(pc.array_sort_indices(b.column("doc_id")))  # ties go by id
+        found = b.column("found")
+        flat_found = found.flatten()
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        col = np.searchsorted(ids, flat_found.field("query_id").to_numpy(zero_copy_only=False))
+        score = flat_found.field("score").to_numpy(zero_copy_only=False)
+        strength = np.zeros((len(ids), b.num_rows), np.int64)  # in millionths, whose sums are exact
+        held = np.zeros((len(ids), b.num_rows), np.int32)
+        top = tops[col]
+        strength[col, row] = np.rint(_rounded(np.divide(score, top, out=np.zeros(len(score)), where=top > 0)) * 1e6).astype(np.int64)
+        held[col, row] = 1
+        support = np.add.reduceat(held[flat], starts, axis=0)
+        summed = np.add.reduceat(strength[flat], starts, axis=0) / 1e6
+        some = support > 0
+        mean = np.clip(np.divide(summed, support, out=np.zeros(summed.shape), where=some), 0.0, 1.0)
+        agreed = np.where(some, _rounded((support + mean) / (size + 1)[:, None]), -1.0)
+        order = np.argsort(-agreed, axis=1, kind="stable")[:, :keep]
+        k, n = np.nonzero(np.take_along_axis(some, order, 1))
+        at = order[k, n]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names).take(pa.array(k)), b.column("doc_id").take(pa.array(at)), pa.array(support[k, at].astype(np.int64)), pa.array(size[k]), pa.array(summed[k, at])],
+            names=["key", "id", "support", "components", "strength"],
+        )
+
+    kind = docs.schema["doc_id"].dataType
+    fields = [StructField("key", StringType()), StructField("id", kind), StructField("support", LongType()), StructField("components", LongType()), StructField("strength", DoubleType())]
+    return docs.mapInArrow(run, StructType(fields))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six places, half up in decimal, as Spark rounds."""
+    scaled = x * 1e6
+    out = np.floor(scaled + 0.5) / 1e6
+    near = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3
+    if near.any():
+        known, at = np.unique(x[near], return_inverse=True)
+        out[near] = np.array([float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in known.tolist()])[at]
+    return out
 
 
 def evaluated(interpretations: DataFrame, strategy: Strategy, budget: Budget = Budget()) -> tuple[DataFrame, DataFrame]:  # noqa: B008  a budget is a value
