@@ -21,3 +21,28 @@ def test_offsets_without_rows_or_groups(spark):
     assert ranks.offsets(none, ["key"]).count() == 0
     rows = spark.createDataFrame([(0, 2), (1, 3), (5, 1)], "part int, n long")
     assert sorted((r["part"], r["before"]) for r in ranks.offsets(rows, []).collect()) == [(0, 0), (1, 2), (5, 5)]
+
+
+def test_near_scores_lose_no_row_that_counts(spark):
+    """Against all pairs: ties, copies, repeated ids, and vectors that matrices can't hold; no plan crosses queries and plain vectors."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wherry.operators import search as R
+
+    rng = random.Random(3)
+    vectors = [(i % 280, [float(rng.randrange(-2, 3)) for _ in range(4)], i % 5) for i in range(300)]
+    vectors += [(300, None, 1), (301, [1.0, None, 0.0, 0.0], 1), (302, [1.0, 2.0], 2), (303, [0.0] * 4, 3), (304, [float("inf"), 0.0, 0.0, 0.0], 4), (305, [float("nan")] * 4, 0)]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3)
+    q = v.where("vec_id % 20 = 0 OR vec_id IN (302, 303)").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding").localCheckpoint()
+    rows = lambda df: sorted(map(repr, df.select("query_id", "vec_id", "label", "score").collect()))
+    every = R.vector_scores(q, v, of_vector=["label"])
+    near = lambda k, **o: R.near_scores(q, v, k, of_vector=["label"], **o)
+    for k in (1, 10):
+        assert rows(R.top(near(k), k)) == rows(R.top(every, k))
+    finite = every.where(~F.isnan("score"))
+    assert rows(R.image_threshold(near(0).where(~F.isnan("score")))) == rows(R.image_threshold(finite))
+    best = lambda s: s.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "label", "score"), F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b")).select("query_id", "b.*")
+    assert rows(best(near(1, others=True))) == rows(best(every.where("vec_id <> query_id")))
+    assert near(1).count() < every.count() / 2

@@ -205,7 +205,7 @@ SELECT query_id, score, CASE WHEN t = 0 THEN id END AS object, CASE WHEN t = 1 T
 def concept_resolution(spark, d):
     """Every fiftieth vector is a query: its nearest concept, under the type that the label gives it."""
     v = table(spark, d, "embeddings")
-    scored = R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, of_vector=["label"]).where("vec_id <> query_id")
+    scored = R.near_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 1, of_vector=["label"], others=True)
     order = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
     best = scored.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "label", "score"), order).alias("b"))
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("b.label") % 5 + 1).cast("int"))

@@ -145,14 +145,20 @@ def _scores(spark, d, more=()):
     return R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v, of_vector=more)
 
 
+def _near(spark, d, k=0, more=(), others=False):
+    """The same without the rows that are too far off to be among the first ``k``, or to reach the images' threshold."""
+    v = table(spark, d, "embeddings")
+    return R.near_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v, k, of_vector=more, others=others)
+
+
 @query(f"WITH {_VECTORS} SELECT * FROM ({_TOP.format('scores')}) WHERE rank <= 10")
 def cosine_topk(spark, d):
-    return R.top(_scores(spark, d), 10)
+    return R.top(_near(spark, d, 10), 10)
 
 
 @query(f"WITH {_VECTORS}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM scores) SELECT query_id, vec_id, score FROM t WHERE score >= greatest(0.22, round(top * 0.85, 6))")
 def image_adaptive_threshold(spark, d):
-    return R.image_threshold(_scores(spark, d)).select("query_id", "vec_id", "score")
+    return R.image_threshold(_near(spark, d)).select("query_id", "vec_id", "score")
 
 
 @query(f"""
@@ -163,7 +169,7 @@ b AS (SELECT query_id, min(rank) AS cut FROM g JOIN m USING (query_id) WHERE gap
 SELECT query_id, vec_id, score, rank FROM r LEFT JOIN b USING (query_id) WHERE cut IS NULL OR rank < cut
 """)
 def image_adaptive_cutoff(spark, d):
-    return R.image_cutoff(R.top(_scores(spark, d), 10))
+    return R.image_cutoff(R.top(_near(spark, d, 10), 10))
 
 
 @query(f"WITH {_VECTORS} SELECT query_id, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (score >= 0.22) AS kept FROM scores GROUP BY query_id")
@@ -176,7 +182,7 @@ WITH {_VECTORS}, s AS (SELECT s.query_id, e.label, s.score, s.vec_id FROM scores
 SELECT query_id, arg_min(vec_id, (-score, vec_id)) AS vec_id, arg_min(label, (-score, vec_id)) AS label, max(score) AS score FROM s GROUP BY query_id
 """)
 def concept_nearest(spark, d):
-    s = _scores(spark, d, ["label"]).where("vec_id <> query_id")
+    s = _near(spark, d, 1, ["label"], others=True)
     order = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
     return s.groupBy("query_id").agg(F.min_by("vec_id", order).alias("vec_id"), F.min_by("label", order).alias("label"), F.max("score").alias("score"))
 
@@ -275,7 +281,7 @@ _BOTH = f"""
 
 def _mixed(spark, d):
     docs = _fused(spark, d).select("query_id", F.lit("DOCUMENT").alias("modality"), F.col("doc_id").alias("id"), "score")
-    img = R.top(_scores(spark, d), 10).where("query_id IN (50, 100, 150)").withColumn("query_id", F.floor(F.col("query_id") / 50).cast("int"))
+    img = R.top(_near(spark, d, 10), 10).where("query_id IN (50, 100, 150)").withColumn("query_id", F.floor(F.col("query_id") / 50).cast("int"))
     # query 1 asks for both, 2 for images, 3 for documents; every third name holds a query word
     q = F.col("query_id")
     factor = U.image_factor(q != 2, q != 3, F.col("vec_id") % 3 == 0, F.lit(False))
