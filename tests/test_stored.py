@@ -264,3 +264,24 @@ def test_a_search_moves_lists_by_block_and_no_chunk_by_query(spark, stored):
     hits = index.hits(index.written(R.understood(spark.createDataFrame(QUERIES, "query_id int, query string"))))
     assert set(shuffled(hits)) <= {"block"}
     assert shuffled(index.lookup(Q._hashes(spark.createDataFrame(QUERIES, "query_id int, query string")))).count("query_id") <= 1
+
+
+def test_words_move_once_to_be_compared(spark):
+    """The vocabulary is made distinct; neither its vectors nor its dimensions move, and words that are equal are found as well."""
+    asked = spark.createDataFrame([("cats",), ("dogs",)], "token string").withColumn("vector", V.character_grams(F.col("token")))
+    vocab = spark.createDataFrame([("cats",), ("catsx",), ("bird",), ("dogs",), ("dogs",)], "word string").distinct().withColumn("vector", V.character_grams(F.col("word")))
+    found = V.similarity_join(asked, vocab, 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(word") == 1 and "hashpartitioning(dim" not in plan
+    assert {(r["token"], r["word"]) for r in found.collect()} == {("cats", "cats"), ("cats", "catsx"), ("dogs", "dogs")}
+
+
+def test_best_words_of_lists(spark, tmp_path):
+    """Chunks are grouped by block and token, of an index of one segment and of two."""
+    index = D.StoredIndex(spark, str(tmp_path), buckets=4, postings=("tokens",))
+    pairs = spark.createDataFrame([("with", "with", 1.0), ("with", "width", 0.9), ("this", "that", 0.85), ("that", "that", 1.0)], "token string, word string, similarity double")
+    for batch, some in enumerate([[(1, "with this and that with this"), (2, "width that"), (3, None)], [(2, "with width"), (4, "that that")]]):
+        index.add(docs(spark, some), batch=batch)
+        got = V.best_listed(pairs, index.lists())
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in V.best_words(pairs, index.all_postings()).collect()}
+        assert got.where("doc_id = 2 AND token = 'with'").first()["word"] == ("width", "with")[batch]

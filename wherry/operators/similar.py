@@ -1,15 +1,24 @@
-"""Words that mean the same to an encoder: an exact cosine join of sparse vectors through an inverted file."""
+"""Words that mean the same to an encoder: an exact cosine join of sparse vectors through an inverted file of the asked side."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import scoring as S
 
 #: Least similarity of a word that stands for a token, and what a match counts.
 MIN_SIMILARITY, SEMANTIC_WEIGHT = 0.82, 1.40
 MIN_CHARS = 3
+#: Words that meet the asked tokens at a time, and what the order of sums may change in a similarity.
+BLOCK, NEAR = 4096, 2e-6
 
 
 def character_grams(word: Column, width: int = 3) -> Column:
@@ -29,20 +38,51 @@ def similarity_join(asked: DataFrame, vocab: DataFrame, least: float = MIN_SIMIL
     """token, word, similarity: all pairs of a cosine of at least ``least`` (rounded to six places).
 
     Both sides have a name and ``vector`` (array<struct<dim, weight>>, weights not negative); the
-    names are ``token`` and ``word``. Dimensions are ordered by how many words have them, rare
-    ones first. Of a unit vector only the first dimensions go into the inverted file: as many
-    as leave a rest shorter than ``least``. Two vectors of which no such dimensions meet have
-    less in common than that rest (by Cauchy and Schwarz), so no pair is lost, and common
-    dimensions, which would make the long lists, are mostly in the rest. Each candidate is
-    compared once, in full. Null and empty vectors are similar to nothing.
+    names are ``token`` and ``word``. The asked tokens are a stated set: their inverted file, from
+    a dimension to tokens and weights, goes to every task. Words stay where they are; a task sums
+    what its words have in common with the tokens, block by block, and only pairs that reach
+    ``least`` but for rounding become rows. Each of those is compared once more, in the order of
+    its dimensions. Null and empty vectors are similar to nothing.
     """
-    w = vocab.where("word IS NOT NULL").groupBy("word").agg(F.first("vector").alias("vector")).select("word", unit(F.col("vector")).alias("vector"))
-    t = asked.where("token IS NOT NULL").groupBy("token").agg(F.first("vector").alias("vector")).select("token", unit(F.col("vector")).alias("vector"))
-    dims = w.select(F.explode("vector.dim").alias("dim")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    left, right = _prefixes(t, "token", dims, least), _prefixes(w, "word", dims, least)
-    pairs = left.join(right, "dim").select("token", "word").distinct()
-    both = pairs.join(t.withColumnRenamed("vector", "a"), "token").join(w.withColumnRenamed("vector", "b"), "word")
-    return both.select("token", "word", F.round(sparse_dot(F.col("a"), F.col("b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    t = asked.where("token IS NOT NULL").groupBy("token").agg(F.first("vector").alias("vector")).select("token", unit(F.col("vector")).alias("a"))
+    w = vocab.where("word IS NOT NULL").dropDuplicates(["word"]).select("word", unit(F.col("vector")).alias("b"))
+    pairs = _near(t.collect(), w, least)
+    return pairs.join(t, "token").select("token", "word", F.round(sparse_dot(F.col("a"), F.col("b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def _near(asked: list, w: DataFrame, least: float) -> DataFrame:
+    """token, word, b: words (word, b) with every asked token that they are near to, in sums of another order."""
+    tokens = [r[0] for r in asked]
+    each = [(d["dim"], i, d["weight"]) for i, r in enumerate(asked) for d in r[1] or () if d["weight"] is not None]
+    dims = sorted({e[0] for e in each})
+    place = {d: i for i, d in enumerate(dims)}
+    by = sorted((place[d], i, x) for d, i, x in each)
+    of, ids, weights = (np.array([e[k] for e in by], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
+    starts = np.searchsorted(of, np.arange(len(dims) + 1))
+    known = pa.array(dims, to_arrow_type(w.schema["b"].dataType.elementType["dim"].dataType))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                b = part.column("b")
+                flat = b.flatten()
+                n = pc.fill_null(pc.list_value_length(b), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                code = pc.fill_null(pc.index_in(flat.field("dim"), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                weight = pc.fill_null(flat.field("weight"), 0.0).to_numpy(zero_copy_only=False)
+                row, code, weight = row[code >= 0], code[code >= 0], weight[code >= 0]
+                many = starts[code + 1] - starts[code]
+                # every entry of a word meets all tokens that have its dimension
+                to = np.repeat(starts[code] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                pair, inverse = np.unique(np.repeat(row, many) * len(tokens) + ids[to], return_inverse=True)
+                dot = np.bincount(inverse, np.repeat(weight, many) * weights[to], len(pair))
+                pair = pair[dot >= least - NEAR]
+                if len(pair):
+                    i, j = np.divmod(pair, len(tokens))
+                    yield pa.RecordBatch.from_arrays([pa.array([tokens[k] for k in j], pa.string()), part.column("word").take(pa.array(i)), b.take(pa.array(i))], names=["token", "word", "b"])
+
+    return w.mapInArrow(run, StructType([StructField("token", StringType()), w.schema["word"], w.schema["b"]]))
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
@@ -51,24 +91,25 @@ def sparse_dot(a: Column, b: Column) -> Column:
     return S.total(F.transform(shared, lambda d: d["weight"] * weights[d["dim"]]))
 
 
-def _prefixes(rows: DataFrame, name: str, dims: DataFrame, least: float) -> DataFrame:
-    """(name, dim): the rare dimensions of each vector whose rest is shorter than ``least``."""
-    each = rows.select(name, F.inline("vector")).join(dims, "dim", "left")
-    # a vector's dimensions are few: they are put in order within its row
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "dim", "weight"))).alias("d")
-    ordered = each.groupBy(name).agg(order)
-    # squares of what is left from each place on, summed from the end
-    rest = lambda i: S.total(F.transform(F.slice("d", i + 1, F.size("d")), lambda x: x["weight"] * x["weight"]))
-    kept = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.sqrt(rest(i)) >= least - 1e-6)
-    return ordered.select(name, F.explode(F.transform(kept, lambda i: F.get("d", i)["dim"])).alias("dim"))
-
-
 def best_words(pairs: DataFrame, postings: DataFrame) -> DataFrame:
     """token, doc_id, chunk_index, word, score: of the similar words that stand in a chunk the closest (ties: the first), and what it counts.
 
     ``postings`` has token (the word), doc_id and chunk_index, as the index has them.
     """
-    found = postings.select(F.col("token").alias("word"), "doc_id", "chunk_index").join(pairs, "word")
+    return _best(postings.select(F.col("token").alias("word"), "doc_id", "chunk_index").join(pairs, "word"), [])
+
+
+def best_listed(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """What ``best_words`` gives, from lists (word, block, chunks: array<struct<doc_id, chunk_index>>).
+
+    All lists of a chunk are of one block: those of similar words move once, as lists, to where
+    the block's other lists for the token are, and chunks are grouped there.
+    """
+    found = lists.join(pairs, "word").repartition("block", "token")
+    return _best(found.select("block", "token", "word", "similarity", F.inline("chunks")), ["block"])
+
+
+def _best(found: DataFrame, more: list[str]) -> DataFrame:
     best = F.min_by(F.struct("word", "similarity"), F.struct((-F.col("similarity")).alias("s"), "word")).alias("b")
-    rows = found.groupBy("token", "doc_id", "chunk_index").agg(best)
+    rows = found.groupBy(*more, "token", "doc_id", "chunk_index").agg(best)
     return rows.select("token", "doc_id", "chunk_index", "b.word", F.round(F.col("b.similarity") * SEMANTIC_WEIGHT, 6).alias("score"))
