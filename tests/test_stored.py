@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from wherry.functions import text as T
 from wherry.operators import hybrid as H
 from wherry.operators import index as I
 from wherry.operators import search as R
@@ -285,3 +286,19 @@ def test_best_words_of_lists(spark, tmp_path):
         got = V.best_listed(pairs, index.lists())
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in V.best_words(pairs, index.all_postings()).collect()}
         assert got.where("doc_id = 2 AND token = 'with'").first()["word"] == ("width", "with")[batch]
+
+
+def test_index_of_terms_alone(spark, tmp_path):
+    """Without texts an index answers lookups, after changes too, and has no chunks on disk; with texts but without terms the lists are made on the way."""
+    hashes = spark.createDataFrame([(1, "with"), (1, "this"), (1, "with this")], "query_id int, term string").select("query_id", T.hash_of(F.col("term")).alias("hash"))
+    some = [[(1, "with this and that with this"), (2, "with that"), (3, None)], [(2, "this"), (4, "with this")]]
+    got = []
+    for name, options in (("all", {}), ("terms", {"postings": ("terms",), "texts": False}), ("none", {"postings": ()})):
+        index = D.StoredIndex(spark, f"{tmp_path}/{name}", buckets=4, **options)
+        for batch, rows in enumerate(some):
+            index.add(docs(spark, rows), batch=batch, gone=docs(spark, [(3, "")]).select("doc_id") if batch else None)
+        got.append([{tuple(r) for r in index.lookup(hashes, every).collect()} for every in (False, True)])
+        assert ("chunks" in index.set.manifest()["tables"]) == (name != "terms") and ("terms" in index.set.manifest()["tables"]) == (name != "none")
+    assert got[0] == got[1] == got[2] and got[0][1] == {(1, 1, 0, 3, 6), (1, 4, 0, 3, 3)}
+    with pytest.raises(ValueError, match="texts"):
+        D.StoredIndex(spark, f"{tmp_path}/terms", buckets=4).compact()
