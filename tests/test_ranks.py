@@ -46,3 +46,31 @@ def test_near_scores_lose_no_row_that_counts(spark):
     best = lambda s: s.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "label", "score"), F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b")).select("query_id", "b.*")
     assert rows(best(near(1, others=True))) == rows(best(every.where("vec_id <> query_id")))
     assert near(1).count() < every.count() / 2
+
+
+def test_counts_and_first_ranks_equal_all_pairs(spark):
+    """Against all pairs: scores on the threshold, ties, copies, vectors that matrices can't hold; no plan crosses queries and plain vectors."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wherry.operators import search as R
+
+    rng = random.Random(5)
+    vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)], None if i % 11 == 0 else i % 7) for i in range(300)]
+    vectors += [(300, None, 1), (301, [1.0, None, 0.0, 0.0], 1), (302, [1.0, 2.0], 2), (303, [0.0] * 4, 3), (304, [float("inf"), 0.0, 0.0, 0.0], 4), (305, [float("nan")] * 4, 0), (320, [1.0, 0.0, 0.0, 1.0], 99)]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3)
+    q = v.where("vec_id % 20 = 0 OR vec_id IN (302, 303)").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "embedding").localCheckpoint()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    every = R.vector_scores(q, v, ["own"], ["label"])
+    for least in (0.22, 0.5):  # 0.5 is the cosine of many pairs
+        want = every.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"), F.count_if(F.col("score") >= least).alias("kept"))
+        assert rows(R.score_counts(q.select("query_id", "embedding"), v, least)) == rows(want)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = every.where("vec_id <> query_id").withColumn("rank", F.row_number().over(w))
+    want = ranked.groupBy("query_id", "own").agg(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))).cast("long").alias("rank"))
+    found = R.first_relevant(q, v)
+    assert rows(found) == rows(want) and found.where("rank IS NULL").count() and found.where("rank > 5").count()
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert R.first_relevant(q.limit(1), v.join(q.limit(1).select(F.col("query_id").alias("vec_id")), "vec_id")).count() == 0

@@ -146,10 +146,7 @@ def retrieval_metrics(spark, d):
     """Queries: every fiftieth vector, searched among all; relevant: the same label."""
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "embedding")
-    labelled = R.vector_scores(q, v, ["own"], ["label"]).where("vec_id <> query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = labelled.withColumn("rank", F.row_number().over(w))
-    first = ranked.groupBy("query_id", "own").agg(F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))).alias("rank"))
+    first = R.first_relevant(q, v)
     return E.retrieval_metrics(first.withColumnRenamed("own", "grp"), "grp")
 
 

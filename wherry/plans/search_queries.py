@@ -139,14 +139,8 @@ scores AS (SELECT query_id, vec_id, {B.cosine("a", "embedding")} AS score FROM q
 _TOP = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {}"
 
 
-def _scores(spark, d, more=()):
-    """Every fiftieth vector is a query, scored against every vector."""
-    v = table(spark, d, "embeddings")
-    return R.vector_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v, of_vector=more)
-
-
 def _near(spark, d, k=0, more=(), others=False):
-    """The same without the rows that are too far off to be among the first ``k``, or to reach the images' threshold."""
+    """Every fiftieth vector is a query, scored against every vector, without the rows that are too far off to be among the first ``k``, or to reach the images' threshold."""
     v = table(spark, d, "embeddings")
     return R.near_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v, k, of_vector=more, others=others)
 
@@ -174,7 +168,8 @@ def image_adaptive_cutoff(spark, d):
 
 @query(f"WITH {_VECTORS} SELECT query_id, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (score >= 0.22) AS kept FROM scores GROUP BY query_id")
 def multi_vector_shared_scan(spark, d):
-    return _scores(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"), F.count_if(F.col("score") >= 0.22).alias("kept"))
+    v = table(spark, d, "embeddings")
+    return R.score_counts(v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), v, 0.22)
 
 
 @query(f"""
