@@ -74,3 +74,25 @@ def test_counts_and_first_ranks_equal_all_pairs(spark):
     assert rows(found) == rows(want) and found.where("rank IS NULL").count() and found.where("rank > 5").count()
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert R.first_relevant(q.limit(1), v.join(q.limit(1).select(F.col("query_id").alias("vec_id")), "vec_id")).count() == 0
+
+
+def test_only_asked_terms_are_counted_and_hashed(spark):
+    """What is not asked goes where the chunk is read, before it is grouped or hashed."""
+    from pyspark.sql import functions as F
+
+    from wherry.functions import text as T
+    from wherry.operators import index as I
+    from wherry.operators import search as R
+
+    docs = spark.createDataFrame([(1, "With this and that, with this " * 3), (2, "that from"), (3, None)], "doc_id long, text string")
+    chunked = I.chunks(docs)
+    asked = spark.createDataFrame([("with",), ("with this",), ("none",)], "term string")
+    hashes = [r[0] for r in asked.select(T.canonical_hash(F.col("term"))).collect()]
+    for make in (I.counted_postings, I.canonical_postings):
+        found = make(chunked, asked)
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in make(chunked).where(F.col("hash").isin(hashes)).collect()} != set()
+    plan = I.counted_postings(chunked, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2") < plan.index("LeftSemi")  # the join is below
+    held = R.held_tokens(spark.createDataFrame([(1, "with"), (2, "that"), (2, "none")], "query_id int, token string"), chunked)
+    assert {tuple(r) for r in held.select("query_id", "token", "doc_id").collect()} == {(1, "with", 1), (2, "that", 1), (2, "that", 2)}
+    assert "hashpartitioning" not in held._jdf.queryExecution().executedPlan().toString()

@@ -82,8 +82,9 @@ def hydrate_candidates(spark, d):
     """Lexical and canonical candidates, and which way each was found."""
     chunked, asked = I.chunks(table(spark, d, "documents")), R.understood(query_set(spark))
     lexical = R.complete_chunks(asked, chunked).select("query_id", "doc_id", "chunk_index", F.lit(True).alias("l"))
-    hashes = asked.select("query_id", F.explode(F.array_distinct(T.canonical_tokens(F.col("query")))).alias("t")).select("query_id", T.canonical_hash(F.col("t")).alias("hash"))
-    canonical = I.postings_lookup(hashes, I.canonical_postings(chunked)).select("query_id", "doc_id", "chunk_index", F.lit(True).alias("c"))
+    terms = asked.select("query_id", F.explode(F.array_distinct(T.canonical_tokens(F.col("query")))).alias("term"))
+    hashes = terms.select("query_id", T.canonical_hash(F.col("term")).alias("hash"))
+    canonical = I.postings_lookup(hashes, I.canonical_postings(chunked, terms)).select("query_id", "doc_id", "chunk_index", F.lit(True).alias("c"))
     out = lexical.join(canonical, ["query_id", "doc_id", "chunk_index"], "full_outer")
     way = F.when(F.col("l") & F.col("c"), "both").when(F.col("l"), "lexical").otherwise("canonical")
     return out.select("query_id", "doc_id", "chunk_index", way.alias("provenance"))
