@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wherry.functions import scoring as S
 from wherry.functions import text as T
 
 
@@ -22,3 +23,10 @@ def test_alias_expansion_cuts_a_text_once(spark):
     got = spark.createDataFrame([(text,), ("Factura  invoice invoice",), ("",)], "t string").select(T.alias_expansions(F.col("t")).alias("e")).collect()
     assert got[0]["e"] == [text.replace("invoice", "factura")] and got[2]["e"] == []
     assert got[1]["e"] == ["factura factura invoice", "factura invoice factura", "invoice invoice invoice"]
+
+
+def test_hits_of_a_window_are_found_once(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b1"] + ["x"] * 13 + ["a1"]), (["a", "b"], ["b1"] + ["x"] * 14 + ["a1"]), (["a"], ["x"])], "t array<string>, w array<string>")
+    out = df.select(S.in_window(F.col("t"), F.col("w")).alias("i"))
+    assert [r["i"] for r in out.collect()] == [True, False, True]
+    assert analyzed(spark, out).count("startswith") == 1
