@@ -25,6 +25,11 @@ def test_alias_expansion_cuts_a_text_once(spark):
     assert got[1]["e"] == ["factura factura invoice", "factura invoice factura", "invoice invoice invoice"]
 
 
+def test_terms_cut_a_text_once(spark):
+    terms = spark.createDataFrame([("Ab cd ab cd",)], "t string").select(T.canonical_terms(T.canonical_tokens(F.col("t"))).alias("t"))
+    assert terms.first()["t"] == ["ab", "cd", "ab cd", "cd ab"] and analyzed(spark, terms).count("regexp_extract_all") == 1
+
+
 def test_hits_of_a_window_are_found_once(spark):
     df = spark.createDataFrame([(["a", "b"], ["b1"] + ["x"] * 13 + ["a1"]), (["a", "b"], ["b1"] + ["x"] * 14 + ["a1"]), (["a"], ["x"])], "t array<string>, w array<string>")
     out = df.select(S.in_window(F.col("t"), F.col("w")).alias("i"))
