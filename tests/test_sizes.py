@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wherry.functions import scoring as S
 from wherry.functions import text as T
+from wherry.operators import index as I
 
 
 def analyzed(spark, df):
@@ -35,3 +36,13 @@ def test_hits_of_a_window_are_found_once(spark):
     out = df.select(S.in_window(F.col("t"), F.col("w")).alias("i"))
     assert [r["i"] for r in out.collect()] == [True, False, True]
     assert analyzed(spark, out).count("startswith") == 1
+
+
+def test_postings_of_documents(spark):
+    rows = [(1, "one two one é1 two x"), (2, None), (3, "three " * 400), (4, "same id here"), (4, "same id there"), (None, "null one"), (None, "null two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(I.document_postings(docs)) == key(I.postings(I.chunks(docs)))
+    once = docs.where("doc_id < 4")
+    assert key(I.document_postings(once)) == key(I.postings(I.chunks(once)))
+    assert shuffles(I.document_postings(once)) == 0
