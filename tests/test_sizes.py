@@ -46,3 +46,14 @@ def test_postings_of_documents(spark):
     once = docs.where("doc_id < 4")
     assert key(I.document_postings(once)) == key(I.postings(I.chunks(once)))
     assert shuffles(I.document_postings(once)) == 0
+
+
+def test_asked_vocabulary(spark):
+    chunked = spark.createDataFrame([("the then other th",), ("them thou other",)], "norm string")
+    asked = spark.createDataFrame([("the",), ("th",)], "token string")
+    assert sorted(r["word"] for r in I.vocabulary(chunked, asked=asked).collect()) == ["the", "them", "then"]
+
+
+def test_normalized_with_and_without_accents(spark):
+    df = spark.createDataFrame([("Ab--c  D",), ("Éa -- ß́x",), (None,)], "t string")
+    assert [r["n"] for r in df.select(T.normalized(F.col("t")).alias("n")).collect()] == ["ab c d", "ea ßx", ""]
