@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wherry.functions import scoring as S
 from wherry.functions import text as T
 from wherry.operators import index as I
+from wherry.plans.built import stored_index
 
 
 def analyzed(spark, df):
@@ -19,6 +20,11 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def test_search_keeps_no_texts(spark, data):
+    assert set(stored_index(spark, data, "terms").set.manifest()["tables"]) == {"documents", "terms"}
+    assert "chunks" not in stored_index(spark, data).set.manifest()["tables"]
+
+
 def test_alias_expansion_cuts_a_text_once(spark):
     text = ("word " * 20000) + "invoice"
     got = spark.createDataFrame([(text,), ("Factura  invoice invoice",), ("",)], "t string").select(T.alias_expansions(F.col("t")).alias("e")).collect()
