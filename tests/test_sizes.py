@@ -1,11 +1,15 @@
 """What keeps work and disk from growing faster than the input."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from wherry.functions import scoring as S
 from wherry.functions import text as T
 from wherry.operators import index as I
 from wherry.plans.built import stored_index
+from wherry.sources.pages import FolderTransport, PageStreamReader
 
 
 def analyzed(spark, df):
@@ -25,6 +29,33 @@ def test_search_keeps_no_texts(spark, data):
     assert "chunks" not in stored_index(spark, data).set.manifest()["tables"]
 
 
+def mailbox(root, pages, first=True):
+    for i in range(1, pages + 1):
+        (root / "ann" / f"page={i}").mkdir(parents=True)
+        after, messages = {"nextPageToken": str(i + 1) if i < pages else None}, {"messages": [{"id": f"m{i}", "payload": {}}]}
+        (root / "ann" / f"page={i}" / "part.txt").write_text(json.dumps(after | messages if first else messages | after))
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_batches_of_pages_grow_with_the_backlog(tmp_path, first):
+    mailbox(tmp_path, 40, first)
+    read = []
+
+    class Watched(FolderTransport):
+        def page(self, account, token, size):
+            read.append(token)
+            return super().page(account, token, size)
+
+    r = PageStreamReader({"path": str(tmp_path), "account": "ann", "pages_per_batch": "2", "backlog_pages": "16"}, Watched)
+    at, batches = r.initialOffset(), []
+    while (end := r.latestOffset()) != at:
+        batches.append([t for p in r.partitions(at, end) for t in p.tokens])
+        at = end
+    assert [len(b) for b in batches] == [2, 4, 8, 16, 10] and sum(batches, []) == [str(i) for i in range(1, 41)]
+    assert len(read) == (0 if first else 40)  # a page is not read twice by the driver, and not at all where it names the next one first
+    assert [m[2] for m in r.read(r.partitions(r.initialOffset(), {"account": "ann", "token": None, "pages": 40})[0])] == ["m1"]
+
+
 def test_alias_expansion_cuts_a_text_once(spark):
     text = ("word " * 20000) + "invoice"
     got = spark.createDataFrame([(text,), ("Factura  invoice invoice",), ("",)], "t string").select(T.alias_expansions(F.col("t")).alias("e")).collect()
