@@ -10,6 +10,7 @@ from wherry.functions import text as T
 from wherry.operators import index as I
 from wherry.plans.built import stored_index
 from wherry.sources.pages import FolderTransport, PageStreamReader
+from wherry.streaming import budget as Y
 
 
 def analyzed(spark, df):
@@ -94,3 +95,14 @@ def test_asked_vocabulary(spark):
 def test_normalized_with_and_without_accents(spark):
     df = spark.createDataFrame([("Ab--c  D",), ("Éa -- ß́x",), (None,)], "t string")
     assert [r["n"] for r in df.select(T.normalized(F.col("t")).alias("n")).collect()] == ["ab c d", "ea ßx", ""]
+
+
+def test_released_files_stay_where_they_are(spark):
+    files = spark.range(5).select("id", F.lit("a").alias("capability"), F.lit("PACKAGE_MISSING").alias("state"))
+    states = spark.range(1).select(F.lit("a").alias("capability"), F.lit("FULL").alias("state"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = Y.released(files, states)
+        assert out.count() == 5 and shuffles(out) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -56,10 +56,11 @@ def stream_mail_pages(spark, d):
     grouped = docs.select(token, message.alias("m")).groupBy("page").agg(F.collect_list("m").alias("messages"))
     every = spark.range(1, pages + 1).select(F.col("id").alias("page")).join(grouped, "page", "left")
     following = F.when(F.col("page") < pages, (F.col("page") + 1).cast("string"))
-    value = F.to_json(F.struct(F.coalesce("messages", F.array().cast(grouped.schema["messages"].dataType)).alias("messages"), following.alias("nextPageToken")))
-    every.select("page", value.alias("value")).write.partitionBy("page").text(f"{root}/someone")
+    value = F.to_json(F.struct(following.alias("nextPageToken"), F.coalesce("messages", F.array().cast(grouped.schema["messages"].dataType)).alias("messages")))
+    # many small folders: tasks put them in their place, not the driver one after the other
+    every.select("page", value.alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page").text(f"{root}/someone")
     spark.dataSource.register(MailPageStream)
-    options = {"path": root, "account": "someone", "state": state, "page_size": "500", "pages_per_batch": "16"}
+    options = {"path": root, "account": "someone", "state": state, "page_size": "500", "pages_per_batch": "16", "backlog_pages": "4096"}
     stream = spark.readStream.format("mail_page_stream").options(**options).load()
     work = stream.writeStream.format("parquet").option("checkpointLocation", mark).start(sink)
     try:
@@ -93,6 +94,10 @@ def stream_time_budget(spark, d):
 _NEEDS = (("lang-en", "core"), ("lang-fr", "romance"), ("lang-es", "romance"), ("lang-de", "germanic"), ("romance", "core"), ("germanic", "core"), ("core", "storage"))
 
 
+#: Batches of 64 that a micro-batch of the stream takes side by side.
+_SWEEPS = 2048
+
+
 @query("""
 SELECT doc_id, CASE WHEN lang = 'en' THEN 1 WHEN lang IN ('fr', 'es') THEN 2 END AS sweep, CASE WHEN lang IN ('en', 'fr', 'es') THEN 'INDEXED' ELSE 'PACKAGE_MISSING' END AS state FROM documents
 """)
@@ -108,8 +113,9 @@ def stream_reconciliation(spark, d):
         waiting = files if done is None else files.join(done, "id", "left_anti")
         free = Y.released(waiting, states).select("id", F.col("capability").alias("text"), F.lit(0).alias("attempt"))
         queue, out, mark = (X.work_dir(spark, n) for n in ("queue", "ends", "mark"))
-        free.write.option("maxRecordsPerFile", Y.SWEEP).parquet(f"{queue}/first")
-        ended = Y.drained(spark, queue, out, mark, "id long, text string, attempt int", lambda b: b.withColumns({"status": F.lit(Y.DONE), "value": F.lit(0), "error": F.lit(None).cast("string")}), 32)
+        # rows are short, and one task would write all the files one after the other
+        free.repartition(spark.sparkContext.defaultParallelism, "id").write.option("maxRecordsPerFile", Y.SWEEP).parquet(f"{queue}/first")
+        ended = Y.drained(spark, queue, out, mark, "id long, text string, attempt int", lambda b: b.withColumns({"status": F.lit(Y.DONE), "value": F.lit(0), "error": F.lit(None).cast("string")}), _SWEEPS)
         ended = ended.select("id", F.lit(sweep).alias("sweep"))
         done = ended if done is None else done.unionByName(ended)
     state = F.when(F.col("sweep").isNotNull(), "INDEXED").otherwise(F.col("state"))

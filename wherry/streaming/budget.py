@@ -126,4 +126,4 @@ def capabilities(needs: DataFrame, present: DataFrame, depth: int = 8) -> DataFr
 def released(files: DataFrame, states: DataFrame) -> DataFrame:
     """Files that wait for a package (state PACKAGE_MISSING) whose capability is now FULL."""
     full = states.where("state = 'FULL'").select("capability")
-    return files.where("state = 'PACKAGE_MISSING'").join(full, "capability", "left_semi")
+    return files.where("state = 'PACKAGE_MISSING'").join(F.broadcast(full), "capability", "left_semi")  # there are few kinds
