@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wherry.functions import scoring as S
 from wherry.functions import text as T
 from wherry.operators import index as I
+from wherry.operators import wordpiece as W
 from wherry.plans.built import stored_index
 from wherry.sources.pages import FolderTransport, PageStreamReader
 from wherry.streaming import budget as Y
@@ -86,6 +87,14 @@ def test_postings_of_documents(spark):
     assert shuffles(I.document_postings(once)) == 0
 
 
+def test_only_the_head_of_a_long_text_is_cleaned(spark):
+    vocab = spark.createDataFrame([("a", 1000), ("##a", 1001), ("b", 1002)], "piece string, id int")
+    texts = ["a b " * 2000, "a" + " " * 3000 + "b aa", "b " * 126, "A" * 2040 + " b b", None, "-" * 2047 + "aa b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["input_ids"][1 : r["n_ids"] - 1] for r in W.encoded(docs, vocab).collect()}
+    assert got == {0: [1000, 1002] * 63, 1: [1000, 1002, 1000, 1001], 2: [1002] * 126, 3: [W.UNKNOWN, 1002, 1002], 4: [], 5: [1000, 1001, 1002]}
+
+
 def test_asked_vocabulary(spark):
     chunked = spark.createDataFrame([("the then other th",), ("them thou other",)], "norm string")
     asked = spark.createDataFrame([("the",), ("th",)], "token string")

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.barrier import settled
 
 #: Fixed values of the encoder: ids of padding, unknown words, the begin and the end of a text; ids of a text; the longest word; the mark of what goes on a word.
 PAD, UNKNOWN, BEGIN, END = 0, 100, 101, 102
 MAX_IDS, MAX_WORD = 128, 100
 GOES_ON = "##"
+#: Characters of a text that are cleaned first; only where they hold too few words is the whole text.
+HEAD = 2048
 
 
 def cleaned(c: Column) -> Column:
@@ -58,7 +61,9 @@ def encoded(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col:
     empty texts are begin and end. Ids of documents are unique and not null.
     """
     room = MAX_IDS - 2
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.slice(F.split(cleaned(F.col(text_col)), " "), 1, room).alias("words"))
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), head=F.split(cleaned(F.substring("text", 1, HEAD)), " "))
+    enough = (F.size("head") > room) | (F.length(F.coalesce("text", F.lit(""))) <= HEAD)  # the last word of a head may be cut off
+    rows = settled(rows, words=F.slice(F.when(enough, F.col("head")).otherwise(F.split(cleaned(F.col("text")), " ")), 1, room)).select("doc_id", "words")
     each = rows.select("doc_id", F.posexplode("words").alias("at", "word")).where("word <> ''")
     found = each.join(segmented(each.select("word"), vocab), "word")
     ids = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("w"))  # as many as there is room for
