@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import ROUND_HALF_UP, Decimal
 from typing import Protocol
 
 import numpy as np
@@ -16,9 +15,11 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from pyspark.sql.window import Window
 
 from ..functions import scoring as S
+from ..streaming.feeds import work_dir
 from . import graph as G
 from . import search as R
 from . import stored as D
+from .scored import document_scores, rounded
 
 #: The most interpretations, components, executions and results that any budget may allow.
 MOST = (8, 12, 8, 10)
@@ -67,25 +68,22 @@ class WholeQuery:
 
 
 class AtomicConjunction:
-    """Each component by itself; results by how many components they answer."""
+    """Each component by itself; results by how many components they answer.
 
-    def __init__(self, index: D.StoredIndex) -> None:
-        self.index = index
+    Components ask so many of the words there are that the documents are read, where each meets
+    all components at once: their postings would bring most words together again.
+    """
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.docs = docs
 
     def key(self, query: Column, parts: Column) -> Column:
         return F.concat(F.lit("atomic\0"), F.array_join(F.array_sort(F.array_distinct(parts)), "\0"))
 
     def execute(self, requests: DataFrame, budget: Budget) -> DataFrame:
-        each = self.index.written(requests.select("key", F.explode(F.array_distinct("parts")).alias("component")))
-        named = each.select("component").distinct().select(F.monotonically_increasing_id().alias("query_id"), "component")
-        named = self.index.written(named)
-        asked = self.index.written(R.understood(named.withColumnRenamed("component", "query")))
-        rows = R.settle_scores(D.signals(asked, self.index.hits(asked)))
-        # a document's chunks mostly lie in one block, where they become one row before anything moves
-        best = rows.groupBy("block", "query_id", "doc_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("hits")).repartition("doc_id")
-        best = best.groupBy("doc_id", "query_id").agg(F.max("best").alias("best"), F.sum("hits").alias("hits"))
-        score = F.round(F.col("best") + 0.5 * F.least("hits", F.lit(5)), 6)
-        docs = self.index.written(best.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", score.alias("score"))).alias("found")))
+        each = _written(requests.select("key", F.explode(F.array_distinct("parts")).alias("component")), "asked")
+        named = _written(each.select("component").distinct().select(F.monotonically_increasing_id().alias("query_id"), "component"), "asked")
+        docs = _written(document_scores(R.understood(named.withColumnRenamed("component", "query")), self.docs), "scored")
         tops = docs.select(F.inline("found")).groupBy("query_id").agg(F.max("score").alias("top"))  # a row for each component
         wanted = each.join(named, "component").join(tops, "query_id", "left").groupBy("key").agg(F.collect_list(F.struct("query_id", "top")).alias("parts")).collect()
         kept = _conjunctions(docs, [(r["key"], [tuple(p) for p in r["parts"]]) for r in wanted], budget.results)
@@ -95,15 +93,26 @@ class AtomicConjunction:
         return tiers.select("key", F.lit("DOCUMENT").alias("modality"), "id", "score")
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a table, which later steps read in place of making it again."""
+    path = work_dir(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Documents that meet the keys at a time, and a component's share of a sum, above the strengths in millionths.
+DOCUMENTS, ONE = 128, 1 << 40
+
+
 def _conjunctions(docs: DataFrame, wanted: list[tuple[str, list[tuple[int, float | None]]]], keep: int) -> DataFrame:
-    """key, id, support, components, strength: of each key's documents each batch's first ``keep`` by agreement, which no better ones of the batch precede.
+    """key, id, support, components, strength: of each key's documents each task's first ``keep`` by agreement (ties by id).
 
     ``docs`` has doc_id and found (component's query_id, score), ``wanted`` the stated keys with
     their components' ids and best scores. A batch of documents is a matrix, so that keys and
-    documents that meet do not become rows.
+    documents that meet do not become rows; a task remembers how good a key's last kept document is.
     """
-    ids = sorted({q for _, parts in wanted for q, _ in parts})
-    place = {q: i for i, q in enumerate(ids)}
+    ids = np.array(sorted({q for _, parts in wanted for q, _ in parts}), np.int64)
+    place = {q: i for i, q in enumerate(ids.tolist())}
     tops = np.zeros(len(ids))
     for _, parts in wanted:
         for q, top in parts:
@@ -111,54 +120,55 @@ def _conjunctions(docs: DataFrame, wanted: list[tuple[str, list[tuple[int, float
     flat = np.array([place[q] for _, parts in wanted for q, _ in parts], np.int64)
     size = np.array([len(parts) for _, parts in wanted], np.int64)
     starts = np.cumsum(size) - size
-    names = [k for k, _ in wanted]
+    names = pa.array([k for k, _ in wanted], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cut, n = [], np.full(len(wanted), -np.inf), 0
         for b in batches:
-            for at in range(0, b.num_rows if wanted and keep else 0, 256):
-                yield from best(b.slice(at, 256))
-
-    def best(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        b = b.take(pc.array_sort_indices(b.column("doc_id")))  # ties go by id
+            for at in range(0, b.num_rows if wanted and keep else 0, DOCUMENTS):
+                held.append(near(b.slice(at, DOCUMENTS), cut))
+                n += held[-1].num_rows
+                if n > 4 * keep * len(wanted):
+                    held = [best(pa.concat_tables(held), cut)]
+                    n = held[0].num_rows
+        if held:
+            out = best(pa.concat_tables(held), cut)
+            out = out.set_column(0, "key", names.take(out["key"])).drop_columns("agreed")
+            yield from out.combine_chunks().to_batches()
+
+    def near(b: pa.RecordBatch, cut: np.ndarray) -> pa.Table:
+        """Documents that are not worse than the last that is kept of a key."""
         found = b.column("found")
         flat_found = found.flatten()
         row = np.repeat(np.arange(b.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
         col = np.searchsorted(ids, flat_found.field("query_id").to_numpy(zero_copy_only=False))
         score = flat_found.field("score").to_numpy(zero_copy_only=False)
-        strength = np.zeros((len(ids), b.num_rows), np.int64)  # in millionths, whose sums are exact
-        held = np.zeros((len(ids), b.num_rows), np.int32)
         top = tops[col]
-        strength[col, row] = np.rint(_rounded(np.divide(score, top, out=np.zeros(len(score)), where=top > 0)) * 1e6).astype(np.int64)
-        held[col, row] = 1
-        support = np.add.reduceat(held[flat], starts, axis=0)
-        summed = np.add.reduceat(strength[flat], starts, axis=0) / 1e6
-        some = support > 0
-        mean = np.clip(np.divide(summed, support, out=np.zeros(summed.shape), where=some), 0.0, 1.0)
-        agreed = np.where(some, _rounded((support + mean) / (size + 1)[:, None]), -1.0)
-        order = np.argsort(-agreed, axis=1, kind="stable")[:, :keep]
-        k, n = np.nonzero(np.take_along_axis(some, order, 1))
-        at = order[k, n]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names).take(pa.array(k)), b.column("doc_id").take(pa.array(at)), pa.array(support[k, at].astype(np.int64)), pa.array(size[k]), pa.array(summed[k, at])],
-            names=["key", "id", "support", "components", "strength"],
-        )
+        sums = np.zeros((len(ids), b.num_rows), np.int64)
+        sums[col, row] = ONE + np.rint(rounded(np.divide(score, top, out=np.zeros(len(score)), where=top > 0)) * 1e6).astype(np.int64)  # sums of whole millionths are exact
+        sums = np.add.reduceat(sums[flat], starts, axis=0)
+        k, at = np.nonzero(sums)
+        support, strength = np.divmod(sums[k, at], ONE)
+        strength = strength / 1e6
+        agreed = (support + np.clip(strength / support, 0.0, 1.0)) / (size[k] + 1)
+        some = agreed >= cut[k] - 1e-6
+        k, at, support, strength, agreed = k[some], at[some], support[some], strength[some], rounded(agreed[some])
+        return pa.table([pa.array(k), b.column("doc_id").take(pa.array(at)), pa.array(support), pa.array(size[k]), pa.array(strength), pa.array(agreed)], names=["key", "id", "support", "components", "strength", "agreed"])
+
+    def best(rows: pa.Table, cut: np.ndarray) -> pa.Table:
+        """The first rows of each key; ``cut`` is raised to the last of them where there are enough."""
+        rows = rows.take(pc.sort_indices(rows, [("key", "ascending"), ("agreed", "descending"), ("id", "ascending")]))
+        key = rows["key"].to_numpy()
+        rank = np.arange(len(key)) - np.searchsorted(key, key)
+        last = np.flatnonzero(rank == keep - 1)
+        cut[key[last]] = rows["agreed"].to_numpy()[last]
+        return rows.filter(pa.array(rank < keep))
 
     kind = docs.schema["doc_id"].dataType
     fields = [StructField("key", StringType()), StructField("id", kind), StructField("support", LongType()), StructField("components", LongType()), StructField("strength", DoubleType())]
     return docs.mapInArrow(run, StructType(fields))
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """Six places, half up in decimal, as Spark rounds."""
-    scaled = x * 1e6
-    out = np.floor(scaled + 0.5) / 1e6
-    near = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3
-    if near.any():
-        known, at = np.unique(x[near], return_inverse=True)
-        out[near] = np.array([float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in known.tolist()])[at]
-    return out
-
-
 def evaluated(interpretations: DataFrame, strategy: Strategy, budget: Budget = Budget()) -> tuple[DataFrame, DataFrame]:  # noqa: B008  a budget is a value
     """((query_id, ord, kind, key, reused, best_score, documents, images), (key, modality, id, score, rank)).
 

@@ -65,7 +65,7 @@ evaluated AS (
 
 
 def _atomic(spark, d):
-    return E.evaluated(_interpreted(spark, d), E.AtomicConjunction(stored_index(spark, d)))
+    return E.evaluated(_interpreted(spark, d), E.AtomicConjunction(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query(f"WITH {_ATOMIC_PARTS} SELECT query_id, ord, kind, reused, best_score, documents FROM evaluated")
