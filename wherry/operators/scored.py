@@ -29,6 +29,7 @@ def document_scores(asked: DataFrame, docs: DataFrame) -> DataFrame:
     ``asked`` (query_id long, tokens) is a stated set, ``docs`` has doc_id and text; null ids are
     left out. Chunks are cut, normalised and scored where a document is read, and nothing moves
     but documents whose id several rows have: a query and a chunk that meet do not become a row.
+    Rows with one id and one chunk index hold together what any of them holds, and are scored each.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     asked = _Asked([(r[0], r[1]) for r in asked.select("query_id", "tokens").collect()])
@@ -37,8 +38,9 @@ def document_scores(asked: DataFrame, docs: DataFrame) -> DataFrame:
     several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if several.isEmpty():
         return _words(docs).mapInArrow(asked.run, schema)
+    tokens = docs.sparkSession.createDataFrame([(t,) for t in asked.tokens], "token string")
     # rows of one document that follow each other are one document
-    near = _words(docs.join(several, "doc_id", "left_semi")).repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+    near = _together(_words(docs.join(several, "doc_id", "left_semi")), tokens).repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
     return _words(docs.join(several, "doc_id", "left_anti")).mapInArrow(asked.run, schema).unionByName(near.mapInArrow(asked.run, schema))
 
 
@@ -46,6 +48,13 @@ def _words(docs: DataFrame) -> DataFrame:
     return I.chunks(docs).select("doc_id", "chunk_index", T.words(F.col("norm")).alias("words"))
 
 
+def _together(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds ``held``: the asked tokens that the chunk has in any row; chunks without one go."""
+    keys = ["doc_id", "chunk_index"]
+    each = rows.select(*keys, F.explode("words").alias("token")).join(F.broadcast(tokens), "token", "left_semi").distinct()
+    return rows.join(each.groupBy(*keys).agg(F.collect_set("token").alias("held")), keys)
+
+
 @dataclass
 class _Open:
     """The last document so far, of which more chunks may come: its queries, their best scores and how many chunks answer them."""
@@ -80,7 +89,7 @@ class _Asked:
                 ids = part.column("doc_id")
                 new = np.r_[True, pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)]
                 ids = ids.filter(pa.array(new))
-                doc, query, best, hits = self._met(part.column("words"), np.cumsum(new) - 1)
+                doc, query, best, hits = self._met(part, np.cumsum(new) - 1)
                 if last is not None and last.id != ids[0].as_py():
                     yield self._batch(pa.array([last.id], ids.type), np.zeros(len(last.query), np.int64), last.query, last.best, last.hits)
                 elif last is not None:
@@ -98,10 +107,11 @@ class _Asked:
         found = pa.StructArray.from_arrays([pa.array(query), pa.array(score)], names=["query_id", "score"])
         return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), found)], names=["doc_id", "found"])
 
-    def _met(self, words: pa.ListArray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _met(self, part: pa.RecordBatch, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, query, best score of its chunks, chunks that answer) of all that meet, by document."""
+        words = part.column("words")
         n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        held = _Held(self, words.flatten().dictionary_encode(), n)
+        held = _Held(self, words.flatten().dictionary_encode(), n, part.column("held") if "held" in part.schema.names else None)
         norm = S.K1 * ((1 - S.B) + S.B * n / S.AVERAGE_WORDS)
         weight = held.count * (S.K1 + 1) / (held.count + norm[held.chunk])  # of a token in its chunk
         made = [(np.empty(0, np.int64),) * 4]
@@ -116,11 +126,13 @@ class _Asked:
 class _Held:
     """The asked tokens that stand in chunks as whole words: ``has`` [token, chunk], ``entry`` [token, chunk] the number of the pair, if there is one.
 
-    Of each pair: its ``chunk``, ``count`` of whole words, and of the words that start with the
-    token the ``first`` place and, as bits, the starts of windows that hold one (``near``).
+    With ``more`` (tokens that a chunk holds in some row) also those of them that only start a
+    word of the chunk, whose count is 0. Of each pair: its ``chunk``, ``count`` of whole words,
+    and of the words that start with the token the ``first`` place and, as bits, the starts of
+    windows that hold one (``near``).
     """
 
-    def __init__(self, asked: _Asked, named: pa.DictionaryArray, n: np.ndarray) -> None:
+    def __init__(self, asked: _Asked, named: pa.DictionaryArray, n: np.ndarray, more: pa.ListArray | None) -> None:
         word, token = [], []
         for length, (known, numbers) in asked.lengths.items():
             at = pc.index_in(pc.utf8_slice_codeunits(named.dictionary, 0, length), value_set=known)
@@ -143,12 +155,19 @@ class _Held:
         key = token * len(n) + chunk
         self.has = np.zeros((len(asked.tokens), len(n)), bool)
         self.has.ravel()[key[whole]] = True
+        if more is not None:
+            known = pc.index_in(more.flatten(), value_set=pa.array(asked.tokens)).to_numpy(zero_copy_only=False)
+            others, started = np.zeros_like(self.has), np.zeros_like(self.has)
+            others[known, np.repeat(np.arange(len(n)), pc.list_value_length(more).to_numpy(zero_copy_only=False))] = True
+            started.ravel()[key] = True
+            self.has |= others & started
         pairs = np.flatnonzero(self.has)
         self.entry = np.full(self.has.shape, -1, np.int32)
         self.entry.ravel()[pairs] = np.arange(len(pairs))
         self.chunk = pairs % max(len(n), 1)
         entry = self.entry.ravel()[key]
         self.count = np.bincount(entry[whole], minlength=len(pairs))
+        self.whole = bool(self.count.all())
         kept = entry >= 0
         entry, place = entry[kept], place[kept]
         self.first = np.zeros(len(pairs), np.int64)
@@ -158,9 +177,9 @@ class _Held:
         width = 1
         while width < S.WINDOW_WORDS:
             by = min(width, S.WINDOW_WORDS - width)
-            more = self.near >> np.uint64(by)
-            more[:, :-1] |= self.near[:, 1:] << np.uint64(64 - by)
-            self.near |= more
+            moved = self.near >> np.uint64(by)
+            moved[:, :-1] |= self.near[:, 1:] << np.uint64(64 - by)
+            self.near |= moved
             width += by
 
 
@@ -183,14 +202,15 @@ def _scored(held: _Held, weight: np.ndarray, doc: np.ndarray, once: list[int], i
     bm25 = np.zeros(len(query))
     for e in entries:
         bm25 += weight[e]
-    bm25 += S.ALL_MATCHED
+    every = True if held.whole else np.logical_and.reduce([held.count[e] > 0 for e in entries])
+    bm25 += np.where(every, S.ALL_MATCHED, 0.0)
     close = np.zeros(len(query))
     if len(once) > 1:
         gap = np.diff(np.sort(first, axis=0), axis=0).min(axis=0)
         close = np.where(gap <= 3, 4.0, np.where(gap <= 10, 2.0, np.where(gap <= 25, 1.0, 0.0)))
     # all tokens are there, so that the coverage is 1
     score = rounded(bm25 * 2.80 + len(once) * 0.80 + close + 2.50 + np.where(bm25 > 2.0, 1.20, 0.0))
-    kept = score >= (R.MIN_SCORE_SINGLE if tokens.shape[1] == 1 else R.MIN_SCORE)
+    kept = (bm25 > 0) & (score >= (R.MIN_SCORE_SINGLE if tokens.shape[1] == 1 else R.MIN_SCORE))
     score = rounded(score + (5.0 + np.where(close >= 2.0, 6.0, 0.0)))[kept]
     query, doc = query[kept], doc[chunk[kept]]
     start = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (doc[1:] != doc[:-1])]) if len(query) else np.empty(0, np.int64)
